@@ -7,74 +7,87 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt_record"
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+LONG, INT, DOUBLE, TEXT, BOOL, TIME = (
+    T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.TimestampType())
+VECTOR = T.ArrayType(T.FloatType())
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 SCRAPED = _struct(
-    "cert_id BIGINT, grade DOUBLE, card_name STRING, set_name STRING, year INT, card_number STRING, "
-    "front_image_path STRING, back_image_path STRING, source_url STRING, scraped_at STRING"
+    cert_id=LONG, grade=DOUBLE, card_name=TEXT, set_name=TEXT, year=INT, card_number=TEXT,
+    front_image_path=TEXT, back_image_path=TEXT, source_url=TEXT, scraped_at=TEXT,
 )
 REFERENCES = _struct(
-    "variant_id STRING, manufacturer STRING, name STRING, set_code STRING, collector_number STRING, "
-    "rarity STRING, front_image_path STRING, source_url STRING, fetched_at STRING"
+    variant_id=TEXT, manufacturer=TEXT, name=TEXT, set_code=TEXT, collector_number=TEXT, rarity=TEXT,
+    front_image_path=TEXT, source_url=TEXT, fetched_at=TEXT,
+)
+EXEMPLARS = _struct(
+    manufacturer=TEXT, variant_id=TEXT, exemplar_ix=INT, embedding=VECTOR,
+)
+CONSUMED_LOG = _struct(
+    cert_id=LONG, manufacturer=TEXT, variant_id=TEXT, added_at=TEXT,
+)
+CARD_SETS = _struct(
+    id=TEXT, game=TEXT, code=TEXT, name=TEXT,
 )
-EXEMPLARS = _struct("manufacturer STRING, variant_id STRING, exemplar_ix INT, embedding ARRAY<FLOAT>")
-CONSUMED_LOG = _struct("cert_id BIGINT, manufacturer STRING, variant_id STRING, added_at STRING")
-CARD_SETS = _struct("id STRING, game STRING, code STRING, name STRING")
 CARD_VARIANTS = _struct(
-    "id STRING, game STRING, set_id STRING, card_number STRING, name STRING, scryfall_id STRING, "
-    "external_ids MAP<STRING,STRING>, canonical_phash BIGINT, canonical_image_embedding ARRAY<FLOAT>"
+    id=TEXT, game=TEXT, set_id=TEXT, card_number=TEXT, name=TEXT, scryfall_id=TEXT, external_ids=T.MapType(TEXT,
+    TEXT), canonical_phash=LONG, canonical_image_embedding=VECTOR,
 )
 SUBMISSIONS = _struct(
-    "id STRING, user_id STRING, status STRING, identified_variant_id STRING, "
-    "identification_confidence DOUBLE, rejection_reason STRING, created_at TIMESTAMP, "
-    "updated_at TIMESTAMP, completed_at TIMESTAMP"
+    id=TEXT, user_id=TEXT, status=TEXT, identified_variant_id=TEXT, identification_confidence=DOUBLE,
+    rejection_reason=TEXT, created_at=TIME, updated_at=TIME, completed_at=TIME,
 )
 SHOTS = _struct(
-    "id STRING, submission_id STRING, kind STRING, s3_key STRING, quality_passed BOOLEAN, "
-    "created_at TIMESTAMP"
+    id=TEXT, submission_id=TEXT, kind=TEXT, s3_key=TEXT, quality_passed=BOOL, created_at=TIME,
 )
 GRADES = _struct(
-    "submission_id STRING, scheme STRING, centering DOUBLE, corners DOUBLE, edges DOUBLE, surface DOUBLE, "
-    "final DOUBLE, front_centering_lr DOUBLE, front_centering_tb DOUBLE, back_centering_lr DOUBLE, "
-    "back_centering_tb DOUBLE, confidence DOUBLE, model_versions MAP<STRING,STRING>"
+    submission_id=TEXT, scheme=TEXT, centering=DOUBLE, corners=DOUBLE, edges=DOUBLE, surface=DOUBLE,
+    final=DOUBLE, front_centering_lr=DOUBLE, front_centering_tb=DOUBLE, back_centering_lr=DOUBLE,
+    back_centering_tb=DOUBLE, confidence=DOUBLE, model_versions=T.MapType(TEXT, TEXT),
 )
 MEASUREMENTS = _struct(
-    "submission_id STRING, detector STRING, score DOUBLE, confidence DOUBLE, abstain_reason STRING, "
-    "metrics MAP<STRING,DOUBLE>, extracted_text STRING"
+    submission_id=TEXT, detector=TEXT, score=DOUBLE, confidence=DOUBLE, abstain_reason=TEXT,
+    metrics=T.MapType(TEXT, DOUBLE), extracted_text=TEXT,
+)
+AUDIT_LOG = _struct(
+    submission_id=TEXT, actor=TEXT, action=TEXT, payload=TEXT, created_at=TIME,
 )
-AUDIT_LOG = _struct("submission_id STRING, actor STRING, action STRING, payload STRING, created_at TIMESTAMP")
 OUTCOMES = _struct(
-    "sample_id STRING, ground_truth STRING, detector STRING, score DOUBLE, confidence DOUBLE, "
-    "verdict STRING, error STRING"
+    sample_id=TEXT, ground_truth=TEXT, detector=TEXT, score=DOUBLE, confidence=DOUBLE, verdict=TEXT, error=TEXT,
 )
 RUN_LOG = _struct(
-    "timestamp STRING, starting_cert_id BIGINT, ending_cert_id BIGINT, stop_reason STRING, error STRING, "
-    "stats MAP<STRING,BIGINT>"
+    timestamp=TEXT, starting_cert_id=LONG, ending_cert_id=LONG, stop_reason=TEXT, error=TEXT,
+    stats=T.MapType(TEXT, LONG),
 )
 PRICES = _struct(
-    "name STRING, set_code STRING, card_number STRING, fetched_at TIMESTAMP, market_price DOUBLE, "
-    "low_price DOUBLE, median_price DOUBLE, direct_low_price DOUBLE, product_url STRING"
+    name=TEXT, set_code=TEXT, card_number=TEXT, fetched_at=TIME, market_price=DOUBLE, low_price=DOUBLE,
+    median_price=DOUBLE, direct_low_price=DOUBLE, product_url=TEXT,
 )
 
 # Raw payloads (one JSON document per row).
 MTG_PAYLOAD = _struct(
-    "id STRING, name STRING, set STRING, collector_number STRING, rarity STRING, scryfall_uri STRING, "
-    "image_uris STRUCT<large: STRING, normal: STRING, png: STRING>, "
-    "card_faces ARRAY<STRUCT<image_uris: STRUCT<large: STRING, normal: STRING, png: STRING>>>"
+    id=TEXT, name=TEXT, set=TEXT, collector_number=TEXT, rarity=TEXT, scryfall_uri=TEXT,
+    image_uris=_struct(large=TEXT, normal=TEXT, png=TEXT),
+    card_faces=T.ArrayType(_struct(image_uris=_struct(large=TEXT, normal=TEXT, png=TEXT))),
 )
 POKEMON_PAYLOAD = _struct(
-    "id STRING, name STRING, set STRUCT<id: STRING>, number STRING, rarity STRING, "
-    "images STRUCT<large: STRING, small: STRING>"
+    id=TEXT, name=TEXT, set=_struct(id=TEXT), number=TEXT, rarity=TEXT, images=_struct(large=TEXT, small=TEXT),
 )
 CERT_PAYLOAD = _struct(
-    "PSACert STRUCT<CardGrade: STRING, GradeDescription: STRING, Year: STRING, Subject: STRING, "
-    "Brand: STRING, CardNumber: STRING, IsDualCert: BOOLEAN, IsPSADNA: BOOLEAN>"
+    PSACert=_struct(CardGrade=TEXT, GradeDescription=TEXT, Year=TEXT, Subject=TEXT, Brand=TEXT, CardNumber=TEXT,
+    IsDualCert=BOOL, IsPSADNA=BOOL),
 )
-IMAGES_PAYLOAD = T.ArrayType(_struct("IsFrontImage BOOLEAN, ImageURL STRING"))
+IMAGES_PAYLOAD = T.ArrayType(_struct(
+    IsFrontImage=BOOL, ImageURL=TEXT,
+))
 PRICE_PAYLOAD = T.ArrayType(
-    _struct("subTypeName STRING, marketPrice STRING, lowPrice STRING, midPrice STRING, directLowPrice STRING")
+    _struct(
+    subTypeName=TEXT, marketPrice=TEXT, lowPrice=TEXT, midPrice=TEXT, directLowPrice=TEXT,
+)
 )
 
 
