@@ -83,13 +83,16 @@ def strip_tags(c: Column) -> Column:
     return collapse(out)
 
 
-def definition_map(html: Column) -> Column:
-    """<dt>/<dd> pairs as label -> value; blank parts dropped, first label wins."""
-    found = F.regexp_extract_all(html, F.lit(P.DEFINITION_PAIR_HTML), F.lit(0))
+def definition_map(html: Column, pattern: str = P.DEFINITION_PAIR_HTML) -> Column:
+    """<dt>/<dd> pairs as label -> value; blank parts dropped, first label wins.
+
+    ``pattern`` may name other markup with the label in group 1 and the value
+    in group 2.
+    """
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
     pairs = F.transform(found, lambda m: F.struct(
-        F.rtrim(F.lower(F.regexp_replace(strip_tags(F.regexp_extract(m, P.DEFINITION_PAIR_HTML, 1)), ":+$", "")))
-        .alias("label"),
-        strip_tags(F.regexp_extract(m, P.DEFINITION_PAIR_HTML, 2)).alias("value"),
+        F.lower(F.regexp_replace(strip_tags(F.regexp_extract(m, pattern, 1)), ":+$", "")).alias("label"),
+        strip_tags(F.regexp_extract(m, pattern, 2)).alias("value"),
     ))
     return first_wins_map(pairs)
 

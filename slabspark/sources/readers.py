@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,13 +17,13 @@ from slabspark.session import materialize
 
 @dataclass(frozen=True)
 class Scan:
-    """Decoded rows and the number of lines that did not decode."""
+    """Decoded rows and, apart from them, the lines that did not decode."""
 
     rows: DataFrame
-    lines: DataFrame  # every line with its corrupt marker
+    rejected: DataFrame
 
     def bad_lines(self) -> int:
-        return self.lines.where(F.col(S.CORRUPT).isNotNull()).count()
+        return self.rejected.count()
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = True) -> Scan:
@@ -35,7 +36,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, missin
         if not missing_ok or err.getCondition() != "PATH_NOT_FOUND":
             raise
         lines = spark.createDataFrame([], full)
-    return Scan(lines.where(F.col(S.CORRUPT).isNull()).drop(S.CORRUPT), lines)
+    # A field of another type only nulls that field; a broken line nulls them all.
+    broken = F.col(S.CORRUPT).isNotNull() & ~_any_field(schema)
+    return Scan(lines.where(~broken).drop(S.CORRUPT), lines.where(broken).select(S.CORRUPT))
+
+
+def _any_field(schema: T.StructType) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(f.name).isNotNull() for f in schema.fields])
 
 
 def read_certs(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +63,7 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     """
     rows = spark.read.schema(S.with_corrupt(schema)).option("multiLine", True).option(
         "columnNameOfCorruptRecord", S.CORRUPT).json(path)
-    empty = F.coalesce(*[F.col(f.name).cast("string") if not isinstance(f.dataType, (T.StructType, T.ArrayType))
-                         else F.to_json(f.name) for f in schema.fields])
-    return rows.where(F.col(S.CORRUPT).isNull() & empty.isNotNull()).drop(S.CORRUPT)
+    return rows.where(_any_field(schema)).drop(S.CORRUPT)
 
 
 LABELS = T.StructType([T.StructField(n, T.StringType()) for n in ("image_path", "ground_truth", "sample_id")])
