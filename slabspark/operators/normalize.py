@@ -110,14 +110,11 @@ def json_text_leaves(documents: pd.Series) -> pd.Series:
     return documents.map(parse)
 
 
-def drifted_images(images: Column) -> Column:
-    """Sides of an unknown tree: by 'front'/'back' in the path, else by order."""
-    found = F.filter(json_text_leaves(images), lambda e: X.is_image_url(e["value"]))
-    return _assign_sides(found)
-
-
 def _assign_sides(found: Column) -> Column:
-    """A leaf whose path says 'front' is a back candidate only once a front is taken."""
+    """Sides of an unknown tree: by 'front' / 'back' in the path, else by order.
+
+    A leaf whose path says both is the front while none is taken yet.
+    """
     says_front = lambda e: e["path"].contains("front")
     says_back = lambda e: e["path"].contains("back")
     fronts = F.filter(found, says_front)
@@ -141,7 +138,9 @@ def pick_images(rows: DataFrame, column: str) -> DataFrame:
     done = usual.where(clear)
     rest = usual.where(~clear)
     some_url = F.coalesce(F.col(column).rlike(r"(?i)https?:"), F.lit(False))
-    rest = rest.where(some_url).withColumn("_img", drifted_images(F.col(column))).unionByName(rest.where(~some_url))
+    walked = rest.where(some_url).withColumn("_leaves", json_text_leaves(F.col(column))).withColumn(
+        "_leaves", F.filter("_leaves", lambda e: X.is_image_url(e["value"])))
+    rest = walked.withColumn("_img", _assign_sides(F.col("_leaves"))).drop("_leaves").unionByName(rest.where(~some_url))
     return done.unionByName(rest).withColumns(
         {"front_image_path": F.col("_img.front"), "back_image_path": F.col("_img.back")}).drop("_img")
 

@@ -1 +1,252 @@
-"""Queries."""
+"""Identification and embedding detectors over the vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from slabspark.functions import hashes as H
+from slabspark.functions import scalars as S
+from slabspark.functions import vectors as VF
+from slabspark.operators import authenticity
+from slabspark.operators.identify import (
+    embedding_candidates, hash_candidates, identify, merge_candidates, rank_candidates, write_back)
+from slabspark.operators.search import cosine_top_k, near_hash_join
+from slabspark.registry.core import Tables, query
+
+DIM = 64
+
+# 64-bit sign signature as two 32-bit halves (SQL has no 64-bit unsigned shift
+# that both engines agree on); probes flip vec_id % 9 spread bits.
+SIGNATURE_SQL = """bits AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS lo,
+    list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS hi
+  FROM embeddings),
+flips AS (
+  SELECT vec_id, list_transform(range(1, vec_id % 9 + 1), lambda j: (j * 7 + vec_id) % 64) AS f FROM embeddings),
+masks AS (
+  SELECT vec_id,
+    coalesce(list_sum(list_transform(f, lambda p: CASE WHEN p < 32 THEN 1::BIGINT << CAST(p AS INT) ELSE 0 END)), 0)::BIGINT AS mlo,
+    coalesce(list_sum(list_transform(f, lambda p: CASE WHEN p >= 32 THEN 1::BIGINT << CAST(p - 32 AS INT) ELSE 0 END)), 0)::BIGINT AS mhi
+  FROM flips),
+probes AS (SELECT b.vec_id, b.label, xor(b.lo, m.mlo) AS lo, xor(b.hi, m.mhi) AS hi,
+    list_concat(b.e[1:48], list_transform(range(0, 16), lambda i: 0.0)) AS e FROM bits b JOIN masks m USING (vec_id)),
+hash_hits AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS variant_id,
+    bit_count(xor(q.lo, c.lo)) + bit_count(xor(q.hi, c.hi)) AS distance
+  FROM probes q, bits c WHERE bit_count(xor(q.lo, c.lo)) + bit_count(xor(q.hi, c.hi)) <= 6),
+vec_hits AS (
+  SELECT * FROM (SELECT query_id, variant_id, distance,
+      row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), variant_id) AS rk
+    FROM (SELECT q.vec_id AS query_id, c.vec_id AS variant_id, 1 - list_cosine_similarity(q.e, c.e) AS distance
+      FROM probes q, bits c)) WHERE rk <= 5)"""
+
+
+def _catalog(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("variant_id"), "label",
+                               H.sign_signature(F.col("embedding")).alias("phash"), "embedding")
+
+
+def _probes(t: Tables) -> DataFrame:
+    n = F.pmod("vec_id", F.lit(9)).cast("int")
+    bit = lambda j: F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.pmod(j * 7 + F.col("vec_id"), F.lit(64)).cast("int"))
+    positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    mask = F.aggregate(F.transform(positions, bit), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+    cut = F.concat(F.slice("embedding", 1, 48), F.array_repeat(F.lit(0.0).cast("float"), 16))
+    return t.embeddings.select(
+        F.col("vec_id").alias("query_id"), "label",
+        H.sign_signature(F.col("embedding")).bitwiseXOR(mask).alias("phash"), cut.alias("embedding"))
+
+
+@query("signature_codec", sql=f"""WITH {SIGNATURE_SQL}
+SELECT vec_id, printf('%08x%08x', hi, lo) AS hex,
+  CAST(CAST(hi AS HUGEINT) * 4294967296 + lo AS VARCHAR) AS unsigned_value,
+  CASE WHEN hi >= 2147483648 THEN (hi - 4294967296) * 4294967296 + lo ELSE hi * 4294967296 + lo END AS signed_value
+FROM bits""")
+def signature_codec(t: Tables) -> DataFrame:
+    """Signed, unsigned and hex forms of every 64-bit hash, each parsed back."""
+    rows = _catalog(t).select(F.col("variant_id").alias("vec_id"), "phash", H.to_hex(F.col("phash")).alias("hex"),
+                              H.to_unsigned(F.col("phash")).alias("u"))
+    same = H.to_signed(F.col("u"))
+    return rows.select("vec_id", "hex", F.col("u").cast("string").alias("unsigned_value"),
+                       F.when(same == H.from_hex(F.col("hex")), same).alias("signed_value"))
+
+
+@query("near_hash_join", sql=f"""WITH {SIGNATURE_SQL}
+SELECT query_id, variant_id, distance, "rank" FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, variant_id) AS "rank" FROM hash_hits)
+WHERE "rank" <= 50""")
+def near_hash(t: Tables) -> DataFrame:
+    """Catalog hashes within six bits of every probe."""
+    return near_hash_join(_probes(t), _catalog(t), "query_id", "phash", "variant_id", "phash")
+
+
+@query("cosine_top_k", sql=f"""WITH {SIGNATURE_SQL}
+SELECT query_id, variant_id, round(distance, 6) AS distance, rk AS "rank" FROM vec_hits""")
+def cosine_neighbours(t: Tables) -> DataFrame:
+    """Five nearest catalog vectors of every probe, exact."""
+    hits = cosine_top_k(_probes(t), _catalog(t), "query_id", "embedding", "variant_id", "embedding", dim=DIM)
+    return hits.select("query_id", F.col("ref_id").alias("variant_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("cosine_top_k_by_label", sql="""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT query_id, variant_id, round(distance, 6) AS distance, rk AS "rank" FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), variant_id) AS rk FROM (
+    SELECT q.vec_id AS query_id, c.vec_id AS variant_id, 1 - list_cosine_similarity(q.e, c.e) AS distance
+    FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id)) WHERE rk <= 5""")
+def cosine_by_label(t: Tables) -> DataFrame:
+    """Nearest other vectors of the same label."""
+    rows = t.embeddings
+    hits = cosine_top_k(rows, rows, "vec_id", "embedding", "vec_id", "embedding", group="label", dim=DIM,
+                        exclude_same_id=True)
+    return hits.select(F.col("vec_id").alias("query_id"), F.col("ref_id").alias("variant_id"),
+                       F.round("distance", 6).alias("distance"), "rank")
+
+
+MERGED_SQL = """merged AS (
+  SELECT query_id, variant_id, score, method FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, variant_id ORDER BY score DESC, method DESC) AS rn FROM (
+      SELECT query_id, variant_id, CASE WHEN distance = 0 THEN 1.0 WHEN distance <= 2 THEN 0.95
+        ELSE 0.85 - 0.02 * (distance - 2) END AS score, 'phash' AS method FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, variant_id) AS r FROM hash_hits)
+          WHERE r <= 10
+      UNION ALL SELECT query_id, variant_id, greatest(0.0, 1 - round(distance, 12)), 'embedding' FROM vec_hits))
+  WHERE rn = 1)"""
+
+
+@query("merge_candidates", sql=f"""WITH {SIGNATURE_SQL}, {MERGED_SQL}
+SELECT query_id, variant_id, round(score, 6) AS score, method FROM merged""")
+def merged(t: Tables) -> DataFrame:
+    """Hash and vector candidates united, the higher score per variant kept."""
+    q, c = _probes(t), _catalog(t)
+    by_hash = near_hash_join(q, c, "query_id", "phash", "variant_id", "phash", limit=10)
+    by_vec = cosine_top_k(q, c, "query_id", "embedding", "variant_id", "embedding", dim=DIM).withColumnRenamed(
+        "ref_id", "variant_id")
+    return merge_candidates(hash_candidates(by_hash), embedding_candidates(by_vec)).select(
+        "query_id", "variant_id", F.round("score", 6).alias("score"), "method")
+
+
+RANKED_SQL = f"""{MERGED_SQL},
+exact AS (SELECT query_id, min(variant_id) AS variant_id FROM hash_hits WHERE distance = 0 GROUP BY 1),
+ranked AS (
+  SELECT *, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, method DESC, variant_id) AS runner_up,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, method DESC, variant_id) AS rk FROM merged
+  WHERE query_id NOT IN (SELECT query_id FROM exact)),
+decided AS (
+  SELECT query_id, variant_id, method, score, CASE WHEN (method = 'phash' AND score >= 0.95) OR runner_up IS NULL
+    THEN score ELSE score * least(1, greatest(0.5, (score - runner_up) * 5 + 0.5)) END AS confidence
+  FROM ranked WHERE rk = 1
+  UNION ALL SELECT query_id, variant_id, 'phash', 1.0, 1.0 FROM exact)"""
+
+
+@query("identify", sql=f"""WITH {SIGNATURE_SQL}, {RANKED_SQL}
+SELECT query_id, CASE WHEN confidence >= 0.55 THEN variant_id END AS variant_id, method, round(score, 6) AS score,
+  round(confidence, 6) AS confidence FROM decided""")
+def identify_all(t: Tables) -> DataFrame:
+    """Bulk identification with the exact-hash short cut and margin confidence."""
+    decisions, _ = identify(_probes(t), _catalog(t), dim=DIM)
+    return decisions.select("query_id", "variant_id", "method", F.round("score", 6).alias("score"),
+                            F.round("confidence", 6).alias("confidence"))
+
+
+@query("ranked_candidates", sql=f"""WITH {SIGNATURE_SQL}, {RANKED_SQL}
+SELECT query_id, variant_id, round(score, 6) AS score, rk AS "rank" FROM ranked WHERE rk <= 5
+UNION ALL SELECT query_id, variant_id, 1.0, 1 FROM exact""")
+def ranked(t: Tables) -> DataFrame:
+    """The ranked candidate list of every query."""
+    _, candidates = identify(_probes(t), _catalog(t), dim=DIM)
+    return candidates.select("query_id", "variant_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("identification_write_back", sql=f"""WITH {SIGNATURE_SQL}, {RANKED_SQL},
+d AS (SELECT query_id, CASE WHEN confidence >= 0.55 THEN variant_id END AS variant_id FROM decided)
+SELECT l.doc_id AS id, CASE WHEN d.query_id IS NOT NULL THEN CAST(d.variant_id AS VARCHAR) ELSE 'label' || l.quality END
+  AS identified_variant_id, d.query_id IS NOT NULL AS audited
+FROM labels l LEFT JOIN d ON d.query_id = l.doc_id""")
+def identification_write_back(t: Tables) -> DataFrame:
+    """Decisions written onto submission rows, with one audit row each."""
+    decisions, candidates = identify(_probes(t), _catalog(t), dim=DIM)
+    subs = t.labels.select(F.col("doc_id").alias("id"), F.concat(F.lit("label"), F.col("quality").cast("string"))
+                           .alias("identified_variant_id"), F.lit(0.0).alias("identification_confidence"))
+    as_text = lambda df: df.withColumn("variant_id", F.col("variant_id").cast("string"))
+    names = t.part.select(F.col("p_partkey").cast("string").alias("variant_id"), F.col("p_name").alias("name"))
+    updated, audit = write_back(subs, as_text(decisions), as_text(candidates), names, "2024-01-01 00:00:00")
+    seen = audit.select(F.col("submission_id").alias("id"), F.col("payload").contains("candidates").alias("audited"))
+    return updated.join(seen, "id", "left").select("id", "identified_variant_id",
+                                                   F.coalesce("audited", F.lit(False)).alias("audited"))
+
+
+CENTROID_SQL = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+unit AS (SELECT vec_id, label, e, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v),
+parts AS (SELECT label, i, avg(u[i]) AS m FROM unit, range(1, 65) r(i) GROUP BY 1, 2),
+centre AS (SELECT label, list(m ORDER BY i) AS c FROM parts GROUP BY 1),
+sizes AS (SELECT label, count(*) AS n FROM v GROUP BY 1)"""
+
+
+@query("centroid_distance", sql=f"""WITH {CENTROID_SQL},
+d AS (SELECT vec_id, label, n, 1 - list_cosine_similarity(e, c) AS dist FROM unit JOIN centre USING (label) JOIN sizes USING (label))
+SELECT vec_id, label, n AS n_references, round(dist, 6) AS distance_from_centroid,
+  round(1 / (1 + exp(15.0 * (dist - 0.25))), 6) AS score,
+  CASE WHEN n >= 10 THEN 1.0 WHEN n >= 5 THEN 0.85 + (n - 5) * 0.03 END AS confidence FROM d""")
+def centroid(t: Tables) -> DataFrame:
+    """Distance of every vector to its label's unit centroid."""
+    rows = t.embeddings
+    out = authenticity.centroid_distance(rows, rows, "vec_id", "label", "embedding")
+    return out.select("vec_id", "label", "n_references", F.round("distance_from_centroid", 6)
+                      .alias("distance_from_centroid"), F.round("score", 6).alias("score"), "confidence")
+
+
+@query("reference_spread", sql=f"""WITH {CENTROID_SQL}
+SELECT label, round(avg(1 - list_cosine_similarity(e, c)), 6) AS mean_distance,
+  round(max(1 - list_cosine_similarity(e, c)), 6) AS max_distance FROM unit JOIN centre USING (label) GROUP BY 1""")
+def spread(t: Tables) -> DataFrame:
+    """How tight each label's references sit around their centroid."""
+    rows = authenticity.reference_spread(t.embeddings, "vec_id", "label", "embedding")
+    return rows.groupBy("label").agg(F.round(F.avg("distance_from_centroid"), 6).alias("mean_distance"),
+                                     F.round(F.max("distance_from_centroid"), 6).alias("max_distance"))
+
+
+KNN_SQL = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS (SELECT q.vec_id, q.label, 1 - list_cosine_similarity(q.e, c.e) AS d FROM v q JOIN v c USING (label)),
+near AS (SELECT vec_id, label, avg(d) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS rn FROM pairs) WHERE rn <= 3 GROUP BY 1, 2)"""
+
+
+@query("neighbour_distance", sql=f"""WITH {KNN_SQL}
+SELECT vec_id, label, round(dist, 6) AS mean_topk_distance, round(1 / (1 + exp(15.0 * (dist - 0.25))), 6) AS score
+FROM near""")
+def neighbour(t: Tables) -> DataFrame:
+    """Mean distance to the three nearest references of the label."""
+    rows = t.embeddings
+    out = authenticity.neighbour_distance(rows, rows, "vec_id", "vec_id", "label", "embedding", dim=DIM)
+    return out.select("vec_id", "label", F.round("mean_topk_distance", 6).alias("mean_topk_distance"),
+                      F.round("score", 6).alias("score"))
+
+
+@query("vector_functions", sql="""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding::DOUBLE[]) AS b
+  FROM embeddings)
+SELECT vec_id, round(sqrt(list_dot_product(a, a)), 6) AS norm, round(list_dot_product(a, b), 6) AS dot,
+  round(1 - list_cosine_similarity(a, b), 6) AS cosine, round(list_distance(a, b), 6) AS l2,
+  round(list_sum(list_transform(a, lambda x: x / sqrt(list_dot_product(a, a)))), 6) AS unit_sum FROM v""")
+def vector_functions(t: Tables) -> DataFrame:
+    """Norm, dot product, cosine and L2 distance of every vector and its reverse."""
+    a, b = F.col("embedding"), F.reverse("embedding")
+    unit = F.aggregate(VF.l2_normalize(a), F.lit(0.0), lambda acc, x: acc + x)
+    return t.embeddings.select("vec_id", F.round(VF.norm(a), 6).alias("norm"), F.round(VF.dot(a, b), 6).alias("dot"),
+                               F.round(VF.cosine_distance(a, b), 6).alias("cosine"),
+                               F.round(VF.l2_distance(a, b), 6).alias("l2"), F.round(unit, 6).alias("unit_sum"))
+
+
+@query("hash_score_ladder", sql=f"""WITH {SIGNATURE_SQL},
+d AS (SELECT q.vec_id, bit_count(xor(q.lo, c.lo)) + bit_count(xor(q.hi, c.hi)) AS distance
+  FROM probes q JOIN bits c USING (vec_id))
+SELECT vec_id, distance, round(CASE WHEN distance = 0 THEN 1.0 WHEN distance <= 2 THEN 0.95
+  WHEN distance <= 6 THEN 0.85 - 0.02 * (distance - 2) ELSE 0.5 END, 6) AS score FROM d""")
+def hash_ladder(t: Tables) -> DataFrame:
+    """Hamming distance of every probe to its own catalog hash, scored."""
+    own = _catalog(t).select(F.col("variant_id").alias("query_id"), F.col("phash").alias("stored"))
+    d = H.hamming(F.col("phash"), F.col("stored"))
+    return _probes(t).join(own, "query_id").select(
+        F.col("query_id").alias("vec_id"), d.alias("distance"), F.round(S.hash_score(d), 6).alias("score"))
