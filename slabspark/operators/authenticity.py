@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -128,11 +130,25 @@ def _argument(name: str) -> Column:
     return value.cast("bigint") if name in whole else value
 
 
+def _formatted(value: Column, spec: str) -> Column:
+    """Decimals rounded half-even on the exact binary value (format_string rounds half-up)."""
+    if not spec.endswith("f"):
+        return value
+    shape = "0." + "0" * int(spec[-2])
+    if "+" in spec:
+        shape = f"+{shape};-{shape}"
+    return F.call_function("format_number", value, F.lit(shape))
+
+
 def reason_text() -> Column:
     """Explanation of one measurement row (needs verdict, metrics, extracted_text)."""
     def render(entry) -> Column:
         fmt, names = entry
-        return F.format_string(fmt, *[_argument(n) for n in names]) if names else F.lit(fmt)
+        if not names:
+            return F.lit(fmt)
+        specs = re.findall(r"%\+?(?:\.\d)?[dfs]", fmt)
+        args = [_formatted(_argument(n), spec) for n, spec in zip(names, specs)]
+        return F.format_string(re.sub(r"%\+?\.\df", "%s", fmt), *args)
 
     detector = F.col("detector")
     chain = None

@@ -9,6 +9,7 @@ from slabspark import params as P
 from slabspark.functions.scalars import threshold
 from slabspark.functions.vectors import l2_distance
 from slabspark.operators.hot import exact_percentiles, ordered_scan
+from slabspark.session import materialize
 
 AUTHENTIC, COUNTERFEIT = "authentic", "counterfeit"
 
@@ -123,7 +124,7 @@ def two_sided_thresholds(scores: DataFrame) -> DataFrame:
         F.count_if(F.col("ground_truth") == COUNTERFEIT).alias("n_c")).where("n_a > 0 AND n_c > 0")
     swept = threshold_sweep(scores).join(F.broadcast(sizes), "detector")  # one row per detector
     j = F.col("below_c") / F.col("n_c") - F.col("below_a") / F.col("n_a")
-    swept = swept.select("detector", "candidate", j.alias("j"))
+    swept = materialize(swept.select("detector", "candidate", j.alias("j")), "sweep")
     best = swept.groupBy("detector").agg(F.max("j").alias("max_j"))
     plateau = swept.join(F.broadcast(best), "detector").where(F.col("j") >= F.col("max_j") - F.lit(P.PLATEAU_TOLERANCE))
     mid = exact_percentiles(plateau, ["detector"], "candidate", {"authentic_threshold": 0.5})
@@ -190,7 +191,8 @@ def _notes(n_a: Column, n_c: Column) -> Column:
 def recommendations(outcomes: DataFrame, target_recall: float = P.TARGET_AUTHENTIC_RECALL,
                     fpr_budget: float = P.COUNTERFEIT_FPR_BUDGET) -> DataFrame:
     """Recommended thresholds per detector with mode, achieved rates, deltas and notes."""
-    scores = confident_scores(outcomes)
+    # Three narrow columns that seven aggregates below read: written once.
+    scores = materialize(confident_scores(outcomes), "scores")
     counts = score_counts(outcomes)
     two = two_sided_thresholds(scores).select("detector", F.col("authentic_threshold").alias("_two"))
     one = one_sided_thresholds(scores, target_recall).select("detector", F.col("authentic_threshold").alias("_one"))
@@ -199,6 +201,7 @@ def recommendations(outcomes: DataFrame, target_recall: float = P.TARGET_AUTHENT
     chosen = counts.join(two, "detector", "left").join(one, "detector", "left").withColumn("mode", mode).withColumn(
         "authentic_threshold", F.when(F.col("mode") == "two_sided", F.col("_two"))
         .when(F.col("mode") == "authentic_only", F.col("_one"))).drop("_two", "_one")
+    chosen = materialize(chosen, "chosen")  # one row per detector, read three times
     low = counterfeit_thresholds(scores, chosen.where(F.col("mode") == "two_sided"), fpr_budget)
     sides = scores.join(F.broadcast(chosen.select("detector", "authentic_threshold")), "detector")
     below = F.col("score") < F.col("authentic_threshold")

@@ -37,12 +37,13 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys of the groups above the limit, or None.
 
-    At most (rows / limit) keys qualify, so the written table stays small and
-    Catalyst broadcasts it by its file size.
+    One map-side combined count over the key columns answers the usual "none".
+    Otherwise at most (rows / limit) keys qualify, so the written table stays
+    small and Catalyst broadcasts it by its file size.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = materialize(counted.where(F.col("_n") > hot_limit(df)).drop("_n"), "hot")
-    return None if hot.isEmpty() else hot
+    hot = counted.where(F.col("_n") > hot_limit(df)).drop("_n")
+    return None if hot.isEmpty() else materialize(hot, "hot")
 
 
 def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
