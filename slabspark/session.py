@@ -24,6 +24,9 @@ RECOMMENDED_CONF = {
 }
 
 
+_LOCAL_ROOTS: dict[str, str | None] = {}
+
+
 def get_spark(app_name: str = "slabspark", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or fetch) a session with the recommended settings.
 
@@ -51,8 +54,8 @@ def scratch_root(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="slabspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="slabspark-")
+        _LOCAL_ROOTS[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
