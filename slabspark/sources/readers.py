@@ -42,7 +42,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, missin
 
 
 def _any_field(schema: T.StructType) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(f.name).isNotNull() for f in schema.fields])
+    """True when a field was read.
+
+    Written as a sum so that it stays above the scan: null checks pushed into
+    the JSON parser would drop a broken line before its error is seen.
+    """
+    return reduce(lambda a, b: a + b, [F.col(f.name).isNotNull().cast("int") for f in schema.fields]) > 0
 
 
 def read_certs(spark: SparkSession, path: str) -> DataFrame:
@@ -58,12 +63,13 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One bulk dump whose top level is a list of objects; other entries are skipped.
 
-    The file is not splittable, so rewrite it once (``write.parquet``) before
-    working on it at scale.
+    The file is one document and not splittable, so rewrite it once
+    (``reread``) before working on it at scale.
     """
-    rows = spark.read.schema(S.with_corrupt(schema)).option("multiLine", True).option(
-        "columnNameOfCorruptRecord", S.CORRUPT).json(path)
-    return rows.where(_any_field(schema)).drop(S.CORRUPT)
+    entries = spark.read.text(path, wholetext=True).select(
+        F.explode(F.from_json("value", "array<string>")).alias("entry"))
+    objects = entries.where(F.col("entry").startswith("{"))
+    return objects.select(F.from_json("entry", schema).alias("r")).select("r.*")
 
 
 LABELS = T.StructType([T.StructField(n, T.StringType()) for n in ("image_path", "ground_truth", "sample_id")])
