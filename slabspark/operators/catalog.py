@@ -125,5 +125,6 @@ def sync_stats(labelled: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFra
         .alias("image_load_failures") if "front_image_path" in rows.columns
         else F.lit(0).cast("bigint").alias("image_load_failures"),
     )
-    total = sets.agg(F.count(F.lit(1)).alias("sets_total"))
-    return total.join(F.broadcast(funnel)).join(F.broadcast(done))  # three one-row frames
+    total = sets.agg(F.count(F.lit(1))).scalar()
+    extra = done.select(F.struct("*")).scalar()  # one-row scalar subqueries, no join
+    return funnel.select(total.alias("sets_total"), "*", extra.alias("_d")).select("*", "_d.*").drop("_d")

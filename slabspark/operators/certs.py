@@ -16,15 +16,16 @@ def graded(submissions: DataFrame, grades: DataFrame, scheme: str = "psa") -> Da
     return s.join(grades.where(F.col("scheme") == scheme).select("submission_id", "final"), "submission_id")
 
 
-def population(rows: DataFrame) -> DataFrame:
+def population(rows: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Rank, count, maximum and chronological index within a variant.
 
     Needs submission_id, variant_id, final, completed_at.  Ordinary variants
     take two windows over one shuffle; a variant with very many submissions
-    is ranked through counts and range slices.
+    is ranked through counts and range slices.  ``bound`` (variant_id, one row
+    per submission) lets the size check skip the join with the grades.
     """
     rows = rows.where(F.col("variant_id").isNotNull()).select("submission_id", "variant_id", "final", "completed_at")
-    ordinary, hot = split_hot(rows, ["variant_id"])
+    ordinary, hot = split_hot(rows, ["variant_id"], bound)
     whole = Window.partitionBy("variant_id")
     by_grade = whole.orderBy(F.col("final").desc_nulls_last())
     by_time = whole.orderBy(F.col("completed_at"), F.col("submission_id"))
@@ -98,7 +99,8 @@ def certificates(submissions: DataFrame, grades: DataFrame, authenticity: DataFr
         "scheme", "centering", "corners", "edges", "surface", "final", "confidence"))).alias("grades"))
     auth = authenticity.select("submission_id", F.col("verdict").alias("auth_verdict"),
                                F.col("confidence").alias("auth_confidence"), F.col("reasons").alias("auth_reasons"))
-    pop = population(graded(done, grades)).drop("variant_id")
+    variant = done.select(F.col("identified_variant_id").alias("variant_id")).where("variant_id IS NOT NULL")
+    pop = population(graded(done, grades), bound=variant).drop("variant_id")
     return (cards.join(listed, "submission_id", "left").join(auth, "submission_id", "left")
             .join(pop, "submission_id", "left")
             .select("submission_id", "completed_at", "identified_variant_id", "card_name", "set_code", "card_number",

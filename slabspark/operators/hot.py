@@ -34,7 +34,7 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
     """Keys of the groups above the limit, or None.
 
     One map-side combined count over the key columns answers the usual "none".
@@ -42,13 +42,17 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     small and Catalyst broadcasts it by its file size.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counted.where(F.col("_n") > hot_limit(df)).drop("_n")
+    hot = counted.where(F.col("_n") > (hot_limit(df) if limit is None else limit)).drop("_n")
     return None if hot.isEmpty() else materialize(hot, "hot")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(ordinary groups, hot groups or None)."""
-    hot = hot_groups(df, keys)
+def split_hot(df: DataFrame, keys: Sequence[str], bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(ordinary groups, hot groups or None).
+
+    ``bound`` may name a cheaper table whose groups are at least as large; it
+    is counted instead of ``df``.
+    """
+    hot = hot_groups(df if bound is None else bound, keys)
     if hot is None:
         return df, None
     cond = same_keys(df, hot, keys)
@@ -228,20 +232,41 @@ def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return kept.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def global_positions(df: DataFrame, ids: str, seed: str, name: str = "position") -> DataFrame:
-    """0-based position of each distinct id in a seeded pseudo-random order.
+def _hash_buckets(df: DataFrame, ids: str, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct ids with hash and prefix, id counts and running counts per prefix).
 
     Ids are ordered by md5(seed|id).  Counts per 4-digit hash prefix (65,536
-    at most) give each prefix its offset, so no global sort runs in one task.
+    rows at most) carry the order, so no global sort runs in one task.
     """
     hashed = df.select(ids).where(F.col(ids).isNotNull()).distinct().withColumn(
         "_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(ids).cast("string")))
     ).withColumn("_p", F.substring("_h", 1, 4))
     counts = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_p", (F.sum("_n").over(
-        Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    return hashed, counts.withColumn("_upto", F.sum("_n").over(upto))
+
+
+def global_positions(df: DataFrame, ids: str, seed: str, name: str = "position") -> DataFrame:
+    """0-based position of each distinct id in a seeded pseudo-random order."""
+    hashed, buckets = _hash_buckets(df, ids, seed)
     local = Window.partitionBy("_p").orderBy("_h", ids)
-    return (
-        hashed.join(F.broadcast(offsets), "_p")  # at most 65,536 rows
-        .select(ids, (F.coalesce("_before", F.lit(0)) + F.row_number().over(local) - 1).alias(name))
-    )
+    before = buckets.select("_p", (F.col("_upto") - F.col("_n")).alias("_before"))
+    return hashed.join(F.broadcast(before), "_p").select(  # at most 65,536 rows
+        ids, (F.col("_before") + F.row_number().over(local) - 1).alias(name))
+
+
+def hash_cut(df: DataFrame, ids: str, fraction: float, seed: str):
+    """Last (h, id) of the first max(1, floor(fraction * n)) ids in seeded order, or None.
+
+    Only the one prefix that holds the cut is ranked (about n / 65,536 ids).
+    """
+    hashed, buckets = _hash_buckets(df, ids, seed)
+    buckets = materialize(buckets, "prefixes")
+    total = buckets.agg(F.max("_upto")).first()[0]
+    if not total:
+        return None
+    wanted = max(1, int(total * fraction))
+    hit = buckets.where((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_n") < wanted)).first()
+    place = wanted - (hit["_upto"] - hit["_n"])
+    inside = hashed.where(F.col("_p") == hit["_p"]).orderBy("_h", ids).offset(place - 1).limit(1)
+    return inside.select(F.col("_h").alias("h"), F.col(ids).alias("id")).first()

@@ -156,35 +156,40 @@ def track_lock(track: DataFrame, key: str, frame: str, quad: str) -> DataFrame:
     """Rolling lock over a track of outlines.
 
     The smoothing buffer holds at most four outlines since the last jump or
-    gap, so a row only depends on the three rows before it.
+    gap, so a row only depends on the three rows before it.  Coordinates are
+    plain double columns, which keeps the arithmetic inside generated code.
     """
-    from slabspark.functions.quads import mean_corner_distance
+    axes = [(i, a) for i in range(4) for a in ("x", "y")]
+    flat = track.withColumns({f"_{a}{i}": F.col(quad)[i][a] for i, a in axes})
+    lags = {f"_{a}{i}_{k}": (f"_{a}{i}", k) for i, a in axes for k in (1, 2, 3)}
+    scan = ordered_scan(flat, [key], [(frame, True)], lags=lags).withColumns({f"_{a}{i}_0": F.col(f"_{a}{i}") for i, a in axes})
 
-    scan = ordered_scan(track, [key], [(frame, True)], lags={"_q1": (quad, 1), "_q2": (quad, 2), "_q3": (quad, 3)})
-    now = F.col(quad)
+    def at(axis: str, i: int, k: int) -> Column:
+        return F.col(f"_{axis}{i}_{k}")
 
-    def follows(later: Column, earlier: Column) -> Column:
-        return F.coalesce(mean_corner_distance(later, earlier) <= P.LOCK_RESET_DISTANCE, F.lit(False))
+    def distance(dx: Column, dy: Column) -> Column:
+        return F.sqrt(dx * dx + dy * dy)
 
-    s1 = follows(now, F.col("_q1"))
-    s2 = s1 & follows(F.col("_q1"), F.col("_q2"))
-    s3 = s2 & follows(F.col("_q2"), F.col("_q3"))
-    depth = F.when(s3, 4).when(s2, 3).when(s1, 2).otherwise(1)
-    buffer = F.slice(F.array(quad, "_q1", "_q2", "_q3"), F.lit(1), depth)
+    def follows(k: int) -> Column:
+        """Row k steps back continues the row before it (null corners do not)."""
+        total = sum(distance(at("x", i, k) - at("x", i, k + 1), at("y", i, k) - at("y", i, k + 1)) for i in range(4))
+        return F.coalesce(total / F.lit(4.0) <= P.LOCK_RESET_DISTANCE, F.lit(False))
 
-    def mean(axis: str, i: int) -> Column:
-        return F.aggregate(buffer, F.lit(0.0), lambda acc, q: acc + q[i][axis]) / depth
-
-    smoothed = F.array(*[F.struct(mean("x", i).alias("x"), mean("y", i).alias("y")) for i in range(4)])
+    s1 = follows(0)
+    s2, s3 = s1 & follows(1), s1 & follows(1) & follows(2)
+    sized = scan.withColumn("_n", F.when(s3, 4).when(s2, 3).when(s1, 2).otherwise(1))
+    n = F.col("_n")
 
-    def gap(p: Column, q: Column) -> Column:
-        return F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
-
-    shaped = scan.withColumns({"_buf": buffer, "_n": depth, "_s": smoothed})
-    spread = F.array_max(F.transform(F.col("_buf"), lambda q: F.array_max(F.zip_with(q, F.col("_s"), gap))))
-    seen = now.isNotNull()
-    return shaped.select(
-        *track.columns, F.when(seen, F.col("_s")).alias("smoothed"),
-        F.when(seen, spread).otherwise(F.lit(0.0)).alias("deviation"),
-        F.when(seen, F.col("_n") / F.lit(float(P.LOCK_WINDOW))).otherwise(F.lit(0.0)).alias("progress"),
-    ).withColumn("locked", seen & (F.col("progress") >= 1.0) & (F.col("deviation") <= P.LOCK_STABLE_DEVIATION))
+    def mean(axis: str, i: int) -> Column:
+        return sum((F.when(n > k, at(axis, i, k)).otherwise(F.lit(0.0)) for k in (1, 2, 3)), at(axis, i, 0)) / n
+
+    smooth = sized.withColumns({f"_m{a}{i}": mean(a, i) for i, a in axes})
+    off = [F.when(n > k, distance(at("x", i, k) - F.col(f"_mx{i}"), at("y", i, k) - F.col(f"_my{i}")))
+           for i in range(4) for k in range(4)]
+    seen = F.col("_x0").isNotNull()
+    smoothed = F.array(*[F.struct(F.col(f"_mx{i}").alias("x"), F.col(f"_my{i}").alias("y")) for i in range(4)])
+    return smooth.select(
+        *track.columns, F.when(seen, smoothed).alias("smoothed"),
+        F.when(seen, F.greatest(*off)).otherwise(F.lit(0.0)).alias("deviation"),
+        F.when(seen, n / F.lit(float(P.LOCK_WINDOW))).otherwise(F.lit(0.0)).alias("progress"),
+    ).withColumn("locked", (F.col("progress") >= 1.0) & (F.col("deviation") <= P.LOCK_STABLE_DEVIATION))

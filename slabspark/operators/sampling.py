@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slabspark.functions.text import group_key
-from slabspark.operators.hot import global_positions, row_numbers
+from slabspark.operators.hot import global_positions, hash_cut, row_numbers
 
 
 def seeded(seed: str, *parts: Column) -> Column:
@@ -50,12 +50,19 @@ def singleton_counts(rows: DataFrame, key: str = "key", cert: str = "cert_id") -
 
 
 def split_by_id(rows: DataFrame, column: str, fraction: float = 0.2, seed: str = "49374") -> DataFrame:
-    """Add ``split``: max(1, floor(fraction * ids)) ids go to "val" with all their rows."""
-    placed = global_positions(rows, column, seed)
-    total = placed.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(float(fraction)))).alias("_val"))
-    sides = placed.join(F.broadcast(total)).select(  # one-row frame
-        column, F.when(F.col("position") < F.col("_val"), F.lit("val")).otherwise(F.lit("train")).alias("split"))
-    return rows.join(sides, column)
+    """Add ``split``: max(1, floor(fraction * ids)) ids go to "val" with all their rows.
+
+    Only the cut between the two sides is computed (one hash and id); the rows
+    themselves are then labelled in place, without a join or shuffle.
+    """
+    cut = hash_cut(rows, column, fraction, seed)
+    mark = F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col(column).cast("string"))).alias("h"),
+                    F.col(column).alias("id"))
+    labelled = rows.where(F.col(column).isNotNull())
+    if cut is None:
+        return labelled.withColumn("split", F.lit("train"))
+    last = F.struct(F.lit(cut["h"]).alias("h"), F.lit(cut["id"]).cast(rows.schema[column].dataType).alias("id"))
+    return labelled.withColumn("split", F.when(mark <= last, F.lit("val")).otherwise(F.lit("train")))
 
 
 def corner_fan_out(certs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -97,8 +104,8 @@ def triplets(rows: DataFrame, sample: str, key: str = "key", cert: str = "cert_i
     runs = numbered.groupBy(key, cert).agg(F.max("_pos").alias("_end"), F.count(F.lit(1)).alias("_own"))
     runs = runs.join(runs.groupBy(key).agg(F.sum("_own").alias("_n")), key).where("_n > _own")
     where_ = global_positions(rows, sample, seed)
-    total = where_.agg(F.count(F.lit(1)).alias("_total"))
-    anchors = numbered.join(runs, [key, cert]).join(where_, sample).join(F.broadcast(total))  # one-row frame
+    total = where_.agg(F.count(F.lit(1))).scalar()
+    anchors = numbered.join(runs, [key, cert]).join(where_, sample).withColumn("_total", total)
     shift = F.pmod(seeded(seed + "+", F.col(sample)), F.col("_n") - F.col("_own"))
     hop = F.pmod(seeded(seed + "-", F.col(sample)), F.col("_total") - 1)
     picks = anchors.select(

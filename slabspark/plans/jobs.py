@@ -50,7 +50,7 @@ def embed_new_references(store: TableStore, references: DataFrame, encode, dim:
         kept = stored.join(new.select("manufacturer", "variant_id"), ["manufacturer", "variant_id"], "left_anti")
         store.replace("exemplars", kept.unionByName(new), partition_by=["manufacturer"])
     elif not new.isEmpty():
-        store.replace("exemplars", stored.unionByName(new), partition_by=["manufacturer"])
+        store.append("exemplars", new.select(*STORED_EXEMPLARS.fieldNames()), partition_by=["manufacturer"])
     return outcome_counts(outcomes)
 
 
@@ -60,7 +60,7 @@ def accumulate_exemplars(store: TableStore, cert_rows: DataFrame, catalog_rows:
 
     ``cert_rows``: cert_id, front_image_path, phash, embedding;
     ``catalog_rows``: variant_id, manufacturer, phash, embedding.
-    Exemplars are published before the log, and certs already present among
+    Exemplars are appended before the log, and certs already present among
     the exemplars count as consumed, so a crash in between loses nothing and
     repeats nothing.
     """
@@ -75,7 +75,7 @@ def accumulate_exemplars(store: TableStore, cert_rows: DataFrame, catalog_rows:
     new = labelled.where("outcome = 'appended'")
     if not new.isEmpty():
         numbered = exemplars.append_exemplars(stored, new, "cert_id", keep=["cert_id"])
-        store.replace("exemplars", stored.unionByName(numbered.select(*stored.columns)), partition_by=["manufacturer"])
+        store.append("exemplars", numbered.select(*STORED_EXEMPLARS.fieldNames()), partition_by=["manufacturer"])
         stamp = F.lit(added_at) if added_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         store.append("consumed_log", new.select("cert_id", "manufacturer", F.col("variant_id").cast("string")
                                                 .alias("variant_id"), stamp.alias("added_at")))

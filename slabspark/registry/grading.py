@@ -29,7 +29,9 @@ WHERE s.status = 'completed' AND g.scheme = 'psa' AND s.identified_variant_id IS
 WINDOW v AS (PARTITION BY s.identified_variant_id)""")
 def population_stat(t: Tables) -> DataFrame:
     """Population rank of every certificate within its variant."""
-    return certs.population(certs.graded(V.submissions(t), V.grades(t)))
+    done = V.submissions(t).where("status = 'completed' AND identified_variant_id IS NOT NULL")
+    return certs.population(certs.graded(done, V.grades(t)),
+                            bound=done.select(F.col("identified_variant_id").alias("variant_id")))
 
 
 @query("graded_submissions", sql=f"""{WITH}
