@@ -11,6 +11,7 @@ from slabspark.operators import ops
 from slabspark.operators import robust as R
 from slabspark.registry import views as V
 from slabspark.registry.core import Tables, query
+from slabspark.sources.store import TableStore
 
 # ------------------------------------------------------------ batch windows
 
@@ -125,40 +126,36 @@ def _event_stream(t: Tables) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(t: Tables, stream: DataFrame, write, label: str):
-    import uuid
-
-    from slabspark.session import scratch_root
-    from slabspark.sources.store import TableStore
-    from slabspark.streaming.jobs import run_available
-
-    root = f"{scratch_root(t.spark)}/stream-{label}-{uuid.uuid4().hex}"
-    store = TableStore(t.spark, f"{root}/tables")
-    run_available(stream.writeStream.outputMode("update").foreachBatch(write(store)), f"{root}/checkpoint")
-    return store
+CLOSED = "FROM events, (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM events) WHERE epoch_ms(date_trunc('{0}', ts)) + {1} <= mark"
 
 
-@query("rate_windows", sql="""SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute, event_type, count(*) AS n, count(*) > 2 AS over_limit
-FROM events GROUP BY 1, 2""")
+@query("rate_windows", sql=f"""SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute, event_type, count(*) AS n,
+  count(*) > 2 AS over_limit {CLOSED.format('minute', 60000)} GROUP BY 1, 2""")
 def rate_windows(t: Tables) -> DataFrame:
-    """Streaming: requests per key and minute against the limit."""
+    """Streaming: requests per key and minute, emitted once the watermark closes the window."""
     from slabspark.streaming import jobs as J
 
-    windows = J.rate_windows(_event_stream(t), "event_type", "ts", 2)
-    store = _run(t, windows, lambda s: J.upsert_batches(s, "rates", ["minute", "event_type"], windows.schema), "rates")
-    return store.read("rates", windows.schema).withColumn("minute", F.col("minute").cast("bigint"))
+    rows = _append_stream(t, J.rate_windows(_event_stream(t), "event_type", "ts", 2), "rates")
+    return rows.withColumn("minute", F.col("minute").cast("bigint"))
 
 
-@query("daily_budget_windows", sql="""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type,
+@query("daily_budget_windows", sql=f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type,
   CAST(sum(CASE WHEN value > 20 THEN 2 ELSE 1 END) AS BIGINT) AS spent,
-  sum(CASE WHEN value > 20 THEN 2 ELSE 1 END) > 100 AS exhausted FROM events GROUP BY 1, 2""")
+  sum(CASE WHEN value > 20 THEN 2 ELSE 1 END) > 100 AS exhausted {CLOSED.format('day', 86400000)} GROUP BY 1, 2""")
 def daily_budget_windows(t: Tables) -> DataFrame:
-    """Streaming: spend per source and day against the cap."""
+    """Streaming: spend per source and closed day against the cap."""
     from slabspark.streaming import jobs as J
 
     spend = J.daily_budget_windows(_event_stream(t), "event_type", "ts", F.when(F.col("value") > 20, 2).otherwise(1))
-    store = _run(t, spend, lambda s: J.upsert_batches(s, "spend", ["day", "event_type"], spend.schema), "spend")
-    return store.read("spend", spend.schema).withColumn("day", F.col("day").cast("string"))
+    return _append_stream(t, spend, "spend").withColumn("day", F.col("day").cast("string"))
+
+
+def _scratch(t: Tables, label: str) -> str:
+    import uuid
+
+    from slabspark.session import scratch_root
+
+    return f"{scratch_root(t.spark)}/stream-{label}-{uuid.uuid4().hex}"
 
 
 @query("incremental_ingest", sql="SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
@@ -167,7 +164,9 @@ def incremental_ingest(t: Tables) -> DataFrame:
     from slabspark.streaming import jobs as J
 
     rows = _event_stream(t).select("user_id", "event_id")
-    store = _run(t, rows, lambda s: J.ingest_new(s, "seen", ["user_id"], rows.schema), "ingest")
+    root = _scratch(t, "ingest")
+    store = TableStore(t.spark, f"{root}/tables")
+    J.run_available(rows.writeStream.foreachBatch(J.ingest_new(store, "seen", ["user_id"], rows.schema)), f"{root}/checkpoint")
     J.ingest_new(store, "seen", ["user_id"], rows.schema)(t.events.select("user_id", "event_id"), 99)
     return store.read("seen", rows.schema)
 
@@ -205,12 +204,9 @@ def lifecycle_stream(t: Tables) -> DataFrame:
 
 def _append_stream(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     """Run an append-mode stream into a file sink and read it back."""
-    import uuid
-
-    from slabspark.session import scratch_root
     from slabspark.streaming.jobs import run_available
 
-    root = f"{scratch_root(t.spark)}/stream-{label}-{uuid.uuid4().hex}"
+    root = _scratch(t, label)
     run_available(stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out"), f"{root}/checkpoint")
     return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
 

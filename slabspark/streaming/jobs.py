@@ -79,13 +79,14 @@ def _legal(previous: str | None, current: str) -> bool:
 
 def _walk(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     previous = state.get[0] if state.exists else None
-    pdf = pd.concat(list(batches)).sort_values(["at", "event_id"])  # one key's events of one micro-batch
-    rows = []
-    for at, current in zip(pdf["at"], pdf["status"]):
-        rows.append((key[0], previous, current, at, _legal(previous, current)))
-        previous = current
-    state.update((previous,))
-    yield pd.DataFrame(rows, columns=["submission_id", "previous", "status", "at", "legal"])
+    # Order needs all events of one submission in one micro-batch; the source's
+    # maxFilesPerTrigger / maxBytesPerTrigger bounds that number.
+    pdf = pd.concat([b[["at", "event_id", "status"]] for b in batches]).sort_values(["at", "event_id"])
+    steps = pdf["status"].tolist()
+    earlier = [previous, *steps[:-1]]
+    state.update((steps[-1],))
+    yield pd.DataFrame({"submission_id": key[0], "previous": earlier, "status": steps, "at": pdf["at"].to_numpy(),
+                        "legal": [_legal(p, c) for p, c in zip(earlier, steps)]})
 
 
 def lifecycle_steps(events: DataFrame) -> DataFrame:
@@ -115,11 +116,15 @@ def daily_budget_windows(calls: DataFrame, source: str, ts: str, cost: Column, c
 # --------------------------------------------------- micro-batch writers
 
 
-def upsert_batches(store: TableStore, table: str, keys: list[str], schema: T.StructType) -> Callable:
-    """foreachBatch body that keeps the newest value per key (replays are harmless)."""
+def upsert_batches(store: TableStore, table: str, keys: list[str], schema: T.StructType,
+                   partition_by: list[str]) -> Callable:
+    """foreachBatch body that keeps the newest value per key (replays are harmless).
+
+    Only the partitions a batch touches are rewritten.
+    """
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        store.upsert(table, batch.select(*schema.fieldNames()), keys, schema)
+        store.upsert_partitions(table, batch.select(*schema.fieldNames()), keys, schema, partition_by)
 
     return write
 

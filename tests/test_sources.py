@@ -225,3 +225,18 @@ def test_price_pick(spark):
     r = {x.id: x for x in N.pick_price(rows, "tiers", "u").collect()}
     assert (r[1].market_price, r[1].low_price, r[1].product_url) == (3.5, None, "https://www.tcgplayer.com/product/1")
     assert (r[2].market_price, r[2].product_url) == (9.0, "https://o/2") and r[3].market_price is None
+
+
+def test_partition_upsert_leaves_other_partitions_alone(spark, tmp_path):
+    schema = spark.createDataFrame([], "day string, k long, v string").schema
+    store = ST.TableStore(spark, str(tmp_path / "lake"))
+    put = lambda rows: store.upsert_partitions("t", spark.createDataFrame(rows, schema), ["day", "k"], schema, ["day"])
+    put([("a", 1, "x"), ("b", 1, "y")])
+    untouched = sorted((tmp_path / "lake/t/v1/day=b").iterdir())
+    for _ in range(2):
+        put([("a", 1, None), ("a", 2, "z"), ("c", 1, "n")])
+    assert sorted((tmp_path / "lake/t/v1/day=b").iterdir()) == untouched
+    assert {tuple(r) for r in store.read("t", schema).select("day", "k", "v").collect()} == {
+        ("a", 1, None), ("a", 2, "z"), ("b", 1, "y"), ("c", 1, "n")}
+    with pytest.raises(ValueError):
+        store.upsert_partitions("t", spark.createDataFrame([], schema), ["k"], schema, ["day"])
