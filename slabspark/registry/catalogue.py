@@ -233,3 +233,21 @@ def exemplar_outcomes(t: Tables) -> DataFrame:
                                                F.lit("mtg").alias("manufacturer"))
     log = t.benchmark.select(F.col("item_id").alias("cert_id"))
     return outcome_counts(X.label_certs(certs, log, chosen, 64))
+
+
+@query("sync_catalog", sql=f"""{VARIANT_SQL}
+SELECT game, collector_number AS card_number, name || '!' AS name, CASE WHEN manufacturer = 'mtg' THEN variant_id END AS scryfall_id
+FROM last_rows""")
+def sync_catalog(t: Tables) -> DataFrame:
+    """Catalog job run twice with changed names: keys stay, values are refreshed."""
+    import uuid
+
+    from slabspark.plans import jobs
+    from slabspark.session import scratch_root
+    from slabspark.sources.store import TableStore
+
+    store = TableStore(t.spark, f"{scratch_root(t.spark)}/sync-{uuid.uuid4().hex}")
+    refs = V.references(t)
+    jobs.sync_catalog(store, refs, V.exemplars(t), ingest_order="ingest_order")
+    jobs.sync_catalog(store, refs.withColumn("name", F.concat("name", F.lit("!"))), V.exemplars(t), ingest_order="ingest_order")
+    return store.read("card_variants", SC.CARD_VARIANTS).select("game", "card_number", "name", "scryfall_id")

@@ -49,13 +49,17 @@ def _catalog(t: Tables) -> DataFrame:
 
 
 def _probes(t: Tables) -> DataFrame:
+    return _probe_rows(t.embeddings)
+
+
+def _probe_rows(vectors: DataFrame) -> DataFrame:
     n = F.pmod("vec_id", F.lit(9)).cast("int")
     bit = lambda j: F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), F.pmod(j * 7 + F.col("vec_id"), F.lit(64)).cast("int"))
     positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     mask = F.aggregate(F.transform(positions, bit), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
     cut = F.concat(F.slice("embedding", 1, 48), F.array_repeat(F.lit(0.0).cast("float"), 16))
-    return t.embeddings.select(
+    return vectors.select(
         F.col("vec_id").alias("query_id"), "label",
         H.sign_signature(F.col("embedding")).bitwiseXOR(mask).alias("phash"), cut.alias("embedding"))
 
@@ -208,10 +212,11 @@ def spread(t: Tables) -> DataFrame:
                                      F.round(F.max("distance_from_centroid"), 6).alias("max_distance"))
 
 
-KNN_SQL = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-pairs AS (SELECT q.vec_id, q.label, 1 - list_cosine_similarity(q.e, c.e) AS d FROM v q JOIN v c USING (label)),
+KNN_PAIRS_SQL = """pairs AS (SELECT q.vec_id, q.label, 1 - list_cosine_similarity(q.e, c.e) AS d FROM v q JOIN v c USING (label)),
 near AS (SELECT vec_id, label, avg(d) AS dist FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS rn FROM pairs) WHERE rn <= 3 GROUP BY 1, 2)"""
+KNN_SQL = f"""v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+{KNN_PAIRS_SQL}"""
 
 
 @query("neighbour_distance", sql=f"""WITH {KNN_SQL}
@@ -250,3 +255,62 @@ def hash_ladder(t: Tables) -> DataFrame:
     d = H.hamming(F.col("phash"), F.col("stored"))
     return _probes(t).join(own, "query_id").select(
         F.col("query_id").alias("vec_id"), d.alias("distance"), F.round(S.hash_score(d), 6).alias("score"))
+
+
+def _store(t: Tables, label: str):
+    import uuid
+
+    from slabspark.session import scratch_root
+    from slabspark.sources.store import TableStore
+
+    return TableStore(t.spark, f"{scratch_root(t.spark)}/{label}-{uuid.uuid4().hex}")
+
+
+APPENDED_SQL = f"""WITH {SIGNATURE_SQL}, {RANKED_SQL}
+SELECT 'set' AS manufacturer, CAST(variant_id AS VARCHAR) AS variant_id, query_id AS cert_id,
+  row_number() OVER (PARTITION BY variant_id ORDER BY query_id) - 1 AS exemplar_ix FROM decided WHERE confidence >= 0.55"""
+
+
+def _cert_vectors(probes: DataFrame) -> DataFrame:
+    return probes.select(F.col("query_id").alias("cert_id"), F.lit("front.png").alias("front_image_path"), "phash", "embedding")
+
+
+@query("accumulate_exemplars", sql=APPENDED_SQL)
+def accumulate(t: Tables) -> DataFrame:
+    """Accumulation job run twice: the second pass appends nothing."""
+    from slabspark.plans import jobs
+
+    store = _store(t, "accumulate")
+    catalog = _catalog(t).withColumns({"variant_id": F.col("variant_id").cast("string"), "manufacturer": F.lit("set")})
+    for _ in range(2):
+        jobs.accumulate_exemplars(store, _cert_vectors(_probes(t)), catalog, DIM)
+    return store.read("exemplars", jobs.STORED_EXEMPLARS).select("manufacturer", "variant_id", "cert_id", "exemplar_ix")
+
+
+@query("accumulate_stream", sql=APPENDED_SQL)
+def accumulate_stream(t: Tables) -> DataFrame:
+    """Streaming: the same accumulation from a file stream of vectors."""
+    from slabspark.plans import jobs
+    from slabspark.streaming import jobs as J
+
+    store = _store(t, "accumulate-stream")
+    catalog = _catalog(t).withColumns({"variant_id": F.col("variant_id").cast("string"), "manufacturer": F.lit("set")})
+    source = t.spark.readStream.schema(t.embeddings.schema).option("pathGlobFilter", "embeddings.parquet").parquet(t.sf_dir)
+    rows = _cert_vectors(_probe_rows(source))
+    J.run_available(rows.writeStream.foreachBatch(J.accumulate_batches(store, catalog, DIM)), f"{store.root}/checkpoint")
+    return store.read("exemplars", jobs.STORED_EXEMPLARS).select("manufacturer", "variant_id", "cert_id", "exemplar_ix")
+
+
+@query("authenticate", sql=f"""WITH {CENTROID_SQL}, {KNN_PAIRS_SQL},
+c AS (SELECT vec_id, 1 / (1 + exp(15.0 * (1 - list_cosine_similarity(e, c) - 0.25))) AS s FROM unit JOIN centre USING (label)),
+k AS (SELECT vec_id, 1 / (1 + exp(15.0 * (dist - 0.25))) AS s FROM near),
+j AS (SELECT c.vec_id, c.s AS s1, k.s AS s2 FROM c JOIN k USING (vec_id))
+SELECT CAST(vec_id AS VARCHAR) AS submission_id, CASE WHEN s1 < 0.35 OR s2 < 0.35 THEN 'likely_counterfeit'
+  WHEN s1 >= 0.65 AND s2 >= 0.65 THEN 'authentic' ELSE 'suspicious' END AS verdict, 1.0 AS confidence FROM j""")
+def authenticate(t: Tables) -> DataFrame:
+    """Authenticity job from vectors to stored verdict rows."""
+    from slabspark.plans import jobs
+
+    rows = t.embeddings
+    measured = jobs.measure_embeddings(rows, rows, "vec_id", "vec_id", "label", "embedding", DIM)
+    return jobs.authenticate(_store(t, "authenticate"), measured).select("submission_id", "verdict", "confidence")
