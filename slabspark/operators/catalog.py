@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slabspark import params as P
+from slabspark.operators.hot import keep_latest
+from slabspark.session import materialize
 from slabspark.sources.store import merge_by_key
 
 
@@ -98,10 +100,9 @@ def upsert_sets(target: DataFrame, rows: DataFrame) -> DataFrame:
 def upsert_variants(target: DataFrame, rows: DataFrame, order: str | None = "ingest_order") -> DataFrame:
     """Merge on (game, set_id, card_number); last row of a key wins, nulls overwrite."""
     ordered = [F.col(order)] if order and order in rows.columns else [F.coalesce("name", F.lit(""))]
-    from slabspark.operators.hot import keep_latest
-
-    last = keep_latest(rows, ["game", "set_id", "card_number"], ordered)
-    return merge_by_key(target, last.select(*target.columns), ["game", "set_id", "card_number"], keep=["id"])
+    # Read twice by the merge, so the deduplicated source is written once.
+    last = materialize(keep_latest(rows, ["game", "set_id", "card_number"], ordered).select(*target.columns), "variants")
+    return merge_by_key(target, last, ["game", "set_id", "card_number"], keep=["id"])
 
 
 def canonical_catalog(references: DataFrame, exemplars: DataFrame) -> DataFrame:

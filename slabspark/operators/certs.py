@@ -19,28 +19,35 @@ def graded(submissions: DataFrame, grades: DataFrame, scheme: str = "psa") -> Da
 def population(rows: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Rank, count, maximum and chronological index within a variant.
 
-    Needs submission_id, variant_id, final, completed_at.  Ordinary variants
-    take two windows over one shuffle; a variant with very many submissions
-    is ranked through counts and range slices.  ``bound`` (variant_id, one row
-    per submission) lets the size check skip the join with the grades.
+    Needs submission_id, variant_id, final, completed_at.  ``bound``
+    (variant_id, one row per submission) lets the size check skip the join
+    with the grades.
     """
     rows = rows.where(F.col("variant_id").isNotNull()).select("submission_id", "variant_id", "final", "completed_at")
-    ordinary, hot = split_hot(rows, ["variant_id"], bound)
-    whole = Window.partitionBy("variant_id")
+    return with_population(rows, "variant_id", bound).drop("final", "completed_at")
+
+
+def with_population(rows: DataFrame, peers: str, bound: DataFrame | None = None) -> DataFrame:
+    """Add the four population columns within groups of ``peers``.
+
+    Ordinary groups take two windows over one shuffle; a group with very many
+    submissions is ranked through counts and range slices.
+    """
+    ordinary, hot = split_hot(rows, [peers], bound)
+    whole = Window.partitionBy(peers)
     by_grade = whole.orderBy(F.col("final").desc_nulls_last())
     by_time = whole.orderBy(F.col("completed_at"), F.col("submission_id"))
     out = ordinary.select(
-        "submission_id", "variant_id",
-        F.count(F.lit(1)).over(whole).alias("total_graded"),
+        "*", F.count(F.lit(1)).over(whole).alias("total_graded"),
         F.rank().over(by_grade).cast("bigint").alias("this_rank"),
         F.max("final").over(whole).alias("max_grade"),
         F.row_number().over(by_time).cast("bigint").alias("chronological_index"))
     if hot is None:
         return out
-    totals = hot.groupBy("variant_id").agg(F.count(F.lit(1)).alias("total_graded"), F.max("final").alias("max_grade"))
-    placed = row_numbers(competition_ranks(hot, ["variant_id"], "final", "this_rank"), ["variant_id"],
+    totals = hot.groupBy(peers).agg(F.count(F.lit(1)).alias("total_graded"), F.max("final").alias("max_grade"))
+    placed = row_numbers(competition_ranks(hot, [peers], "final", "this_rank"), [peers],
                          [("completed_at", True), ("submission_id", True)], "chronological_index")
-    return out.unionByName(attach(placed, totals, ["variant_id"]).select(*out.columns))
+    return out.unionByName(attach(placed, totals, [peers]).select(*out.columns))
 
 
 def primary_grades(grades: DataFrame) -> DataFrame:
@@ -77,7 +84,7 @@ def latest_within(requests: DataFrame, snapshots: DataFrame, keys: list[str], at
                           F.col(request_id).cast("string").alias("_id"),
                           F.lit(None).cast(snap.schema["_snap"].dataType).alias("_snap"))
     both = ordered_scan(snap.unionByName(ask), keys, [("_t", True), ("_k", True), ("_id", True)],
-                        lasts={"_found": "_snap"})
+                        lasts={"_found": "_snap"}, bound=snapshots.select(*keys).unionByName(requests.select(*keys)))
     hits = both.where(F.col("_k") == 1)
     age = F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_found.fetched_at").cast("timestamp"))
     fresh = age < F.lit(ttl_seconds * 1_000_000)
@@ -95,18 +102,27 @@ def certificates(submissions: DataFrame, grades: DataFrame, authenticity: DataFr
     """
     done = submissions.where(F.col("status") == "completed")
     cards = identified_cards(done, variants, sets).withColumnRenamed("id", "submission_id")
+    # one pass over the grades gives the list and the grade that is ranked
+    psa = F.when(F.col("scheme") == "psa", F.struct("final"))
     listed = grades.groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct(
-        "scheme", "centering", "corners", "edges", "surface", "final", "confidence"))).alias("grades"))
+        "scheme", "centering", "corners", "edges", "surface", "final", "confidence"))).alias("grades"),
+        F.max(psa).alias("psa"))
     auth = authenticity.select("submission_id", F.col("verdict").alias("auth_verdict"),
                                F.col("confidence").alias("auth_confidence"), F.col("reasons").alias("auth_reasons"))
-    variant = done.select(F.col("identified_variant_id").alias("variant_id")).where("variant_id IS NOT NULL")
-    pop = population(graded(done, grades), bound=variant).drop("variant_id")
-    return (cards.join(listed, "submission_id", "left").join(auth, "submission_id", "left")
-            .join(pop, "submission_id", "left")
-            .select("submission_id", "completed_at", "identified_variant_id", "card_name", "set_code", "card_number",
-                    "match_confidence", F.coalesce("grades", F.array().cast(listed.schema["grades"].dataType))
-                    .alias("grades"), "auth_verdict", "auth_confidence", "auth_reasons", "total_graded", "this_rank",
-                    "max_grade", "chronological_index"))
+    # a submission without variant or PSA grade is its own group, so no null group builds up
+    variant = F.concat(F.lit("v"), F.col("identified_variant_id"))
+    ranked = F.col("psa").isNotNull() & F.col("identified_variant_id").isNotNull()
+    rows = cards.join(listed, "submission_id", "left").join(auth, "submission_id", "left").withColumns({
+        "ranked": ranked, "final": F.col("psa.final"),
+        "peers": F.when(ranked, variant).otherwise(F.concat(F.lit("s"), F.col("submission_id")))})
+    bound = done.select(variant.alias("peers")).where(F.col("peers").isNotNull())
+    pop = with_population(rows, "peers", bound)
+    return pop.select(
+        "submission_id", "completed_at", "identified_variant_id", "card_name", "set_code", "card_number",
+        "match_confidence", F.coalesce("grades", F.array().cast(listed.schema["grades"].dataType)).alias("grades"),
+        "auth_verdict", "auth_confidence", "auth_reasons",
+        *[F.when(F.col("ranked"), F.col(c)).alias(c)
+          for c in ("total_graded", "this_rank", "max_grade", "chronological_index")])
 
 
 __all__ = ["graded", "population", "primary_grades", "identified_cards", "latest_within", "certificates",

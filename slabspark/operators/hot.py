@@ -70,6 +70,7 @@ def ordered_scan(
     sums: dict[str, Column] | None = None,
     lags: dict[str, tuple[str, int]] | None = None,
     lasts: dict[str, str] | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values per group, in a total order.
 
@@ -77,11 +78,12 @@ def ordered_scan(
     ``lags``  name -> (column, offset), value ``offset`` rows earlier
     ``lasts`` name -> column, latest non-null value up to and including the row
               (all-ascending orders only)
+    ``bound`` is passed on to ``split_hot``.
     """
     sums, lags, lasts = sums or {}, lags or {}, lasts or {}
     if lasts and not all(up for _, up in order):
         raise ValueError("carried values need an ascending order")
-    ordinary, hot = split_hot(df, keys)
+    ordinary, hot = split_hot(df, keys, bound)
     window = Window.partitionBy(*keys).orderBy(*_sort(order))
     rows = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ordinary.select(

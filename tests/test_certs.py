@@ -160,3 +160,24 @@ def test_card_views(spark):
     assert v["c"].flag is None
     stats = D.workbench_stats(D.card_views(rows)).first()
     assert (stats.total, stats.flagged, stats.pending_heads, stats.top_tier, stats.mean_final, stats.highest_name) == (3, 2, 2, 1, 9.0, "Ace")
+
+
+def test_certificates_of_a_hot_variant(spark, hot):
+    t0 = dt.datetime(2026, 1, 1)
+    subs = spark.createDataFrame([(f"s{i:02d}", "completed", "v1" if i % 4 else None, .9, t0 + dt.timedelta(i)) for i in range(40)],
+                                 "id string, status string, identified_variant_id string, identification_confidence double, completed_at timestamp")
+    grades = spark.createDataFrame([(f"s{i:02d}", "psa" if i % 5 else "bgs", 9.0, 9.0, 9.0, 9.0, float(i % 7), .8) for i in range(40)],
+                                   "submission_id string, scheme string, centering double, corners double, edges double, surface double, final double, confidence double")
+    auth = spark.createDataFrame([], "submission_id string, verdict string, confidence double, reasons array<string>")
+    variants = spark.createDataFrame([("v1", "Lotus", "232", "x")], "id string, name string, card_number string, set_id string")
+    sets = spark.createDataFrame([("x", "LEA")], "id string, code string")
+    rows = {r.submission_id: r for r in C.certificates(subs, grades, auth, variants, sets).collect()}
+    peers = [i for i in range(40) if i % 4 and i % 5]
+    assert len(rows) == 40
+    for i in range(40):
+        r = rows[f"s{i:02d}"]
+        if i in peers:
+            want = (len(peers), 1 + sum(1 for j in peers if j % 7 > i % 7), 6.0, peers.index(i) + 1)
+        else:
+            want = (None,) * 4
+        assert (r.total_graded, r.this_rank, r.max_grade, r.chronological_index) == want
