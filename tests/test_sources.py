@@ -240,3 +240,17 @@ def test_partition_upsert_leaves_other_partitions_alone(spark, tmp_path):
         ("a", 1, None), ("a", 2, "z"), ("b", 1, "y"), ("c", 1, "n")}
     with pytest.raises(ValueError):
         store.upsert_partitions("t", spark.createDataFrame([], schema), ["k"], schema, ["day"])
+
+
+def test_exemplar_scan(spark, tmp_path):
+    path = str(tmp_path / "ex")
+    rows = [("mtg", "a", 0, [1.0]), ("mtg", "a", 1, [2.0]), ("mtg", "", 0, [3.0]), ("pokemon", "b", 0, [4.0])]
+    spark.createDataFrame(rows, SC.EXEMPLARS).write.parquet(path)
+    found = R.read_exemplars(spark, path)
+    assert found.count() == 3
+    hits = R.lookup_references(found, "mtg", "a")
+    assert hits.count() == 2 and R.lookup_references(found, "mtg", "zz").count() == 0
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(variant_id,a)" in plan
+    archive = spark.createDataFrame([("mtg/a/b", 0, [1.0]), ("bad", 0, [1.0]), ("/x", 0, [1.0])], "key string, ix int, embedding array<float>")
+    assert [(r.manufacturer, r.variant_id) for r in R.keyed_vectors(archive).collect()] == [("mtg", "a/b")]
