@@ -28,6 +28,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Leading and trailing whitespace of any kind removed."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def group_key(c: Column) -> Column:
     """Grouping key part: lower case, collapsed whitespace, punctuation kept."""
     return collapse(F.lower(F.coalesce(c, F.lit(""))))
@@ -54,25 +59,25 @@ def parse_year(c: Column) -> Column:
     return blank_to_null(F.regexp_extract(c, P.YEAR_REGEX, 1)).cast("int")
 
 
+_URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)"
+
+
 def url_part(url: Column, part: str) -> Column:
-    return F.try_parse_url(url, F.lit(part))
+    """SCHEME, NETLOC or PATH of a URL (lenient: blanks and odd characters are fine)."""
+    index = {"SCHEME": 1, "NETLOC": 2, "PATH": 3}[part]
+    return F.when(url.rlike(_URL), F.regexp_extract(url, _URL, index))
 
 
 def is_https_url(url: Column) -> Column:
-    return F.coalesce(
-        (F.lower(url_part(url, "PROTOCOL")) == "https") & (F.coalesce(url_part(url, "HOST"), F.lit("")) != ""),
-        F.lit(False),
-    )
+    return F.coalesce((F.lower(url_part(url, "SCHEME")) == "https") & (url_part(url, "NETLOC") != ""), F.lit(False))
 
 
 def is_image_url(url: Column) -> Column:
-    """http(s) scheme and an image extension on the path."""
+    """http(s) scheme and an image extension on the path (its ;parameters aside)."""
     extensions = "|".join(e.replace(".", r"\.") for e in P.IMAGE_EXTENSIONS)
+    path = F.regexp_replace(F.lower(url_part(url, "PATH")), r";[^/]*$", "")
     return F.coalesce(
-        F.lower(url_part(url, "PROTOCOL")).isin("http", "https")
-        & F.lower(url_part(url, "PATH")).rlike(f"(?:{extensions})$"),
-        F.lit(False),
-    )
+        F.lower(url_part(url, "SCHEME")).isin("http", "https") & path.rlike(f"(?:{extensions})$"), F.lit(False))
 
 
 def strip_tags(c: Column) -> Column:
@@ -111,7 +116,7 @@ def map_first(m: Column, labels: Sequence[str]) -> Column:
 
 def absolute_url(src: Column, base: Column) -> Column:
     """Resolve ``src`` against ``base``; blank and data: sources give null."""
-    link = F.trim(src)
+    link = strip(src)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     no_query = F.regexp_replace(base, r"[?#].*$", "")

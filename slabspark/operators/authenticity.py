@@ -81,10 +81,10 @@ def text_match(rows: DataFrame, expected: str, extracted: str) -> DataFrame:
     No expected name or no recognizer output (null) abstains; an empty result
     is scored at distance 1 with less confidence.
     """
-    e, t = F.col(expected), F.trim(F.col(extracted))
+    e, t = F.col(expected), X.strip(F.col(extracted))
     want, got = X.comparison_text(e), X.comparison_text(t)
     share = X.edit_distance_share(got, want)
-    abstain = F.when(e.isNull() | (F.trim(e) == ""), F.lit("no_expected_text")).when(
+    abstain = F.when(e.isNull() | (X.strip(e) == ""), F.lit("no_expected_text")).when(
         t.isNull(), F.lit("ocr_unavailable"))
     read = abstain.isNull() & (t != "")
     empty = abstain.isNull() & (t == "")

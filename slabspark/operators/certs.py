@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slabspark.operators.hot import competition_ranks, ordered_scan, row_numbers, same_keys, split_hot
 from slabspark.operators.robust import attach
+from slabspark.params import SCHEMES
 
 
 def graded(submissions: DataFrame, grades: DataFrame, scheme: str = "psa") -> DataFrame:
@@ -97,16 +98,15 @@ def certificates(submissions: DataFrame, grades: DataFrame, authenticity: DataFr
                  sets: DataFrame) -> DataFrame:
     """One row per completed submission: card, grades, verdict, population.
 
-    Grades are unique per (submission, scheme), so a grade list has at most
-    three entries.
+    A grade list is built from one pick per scheme, so its size is fixed.
     """
     done = submissions.where(F.col("status") == "completed")
     cards = identified_cards(done, variants, sets).withColumnRenamed("id", "submission_id")
     # one pass over the grades gives the list and the grade that is ranked
-    psa = F.when(F.col("scheme") == "psa", F.struct("final"))
-    listed = grades.groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct(
-        "scheme", "centering", "corners", "edges", "surface", "final", "confidence"))).alias("grades"),
-        F.max(psa).alias("psa"))
+    parts = F.struct("scheme", "centering", "corners", "edges", "surface", "final", "confidence")
+    pick = {name: F.max(F.when(F.col("scheme") == name, parts)) for name in sorted(SCHEMES)}
+    listed = grades.groupBy("submission_id").agg(
+        F.array_compact(F.array(*pick.values())).alias("grades"), pick["psa"].alias("psa"))
     auth = authenticity.select("submission_id", F.col("verdict").alias("auth_verdict"),
                                F.col("confidence").alias("auth_confidence"), F.col("reasons").alias("auth_reasons"))
     # a submission without variant or PSA grade is its own group, so no null group builds up

@@ -155,7 +155,7 @@ def cert_rows(payloads: DataFrame, column: str = "payload", source_url: Column |
     parsed = payloads.withColumn("c", F.from_json(column, S.CERT_PAYLOAD)["PSACert"])
     c = F.col("c")
     grade = X.parse_grade(c["CardGrade"], c["GradeDescription"])
-    subject, brand = (F.trim(F.coalesce(c[n], F.lit(""))) for n in ("Subject", "Brand"))
+    subject, brand = (X.strip(F.coalesce(c[n], F.lit(""))) for n in ("Subject", "Brand"))
     name = F.coalesce(X.blank_to_null(subject), X.blank_to_null(brand))
     skip = F.coalesce(c["IsDualCert"], F.lit(False)) | F.coalesce(c["IsPSADNA"], F.lit(False)) | grade.isNull()
     path = lambda n: F.col(n) if n in payloads.columns else F.lit(None).cast("string")

@@ -82,39 +82,41 @@ def sync_variants(t: Tables) -> DataFrame:
 
 
 @query("upsert_sets", sql=f"""{WITH},
-target AS (SELECT game, set_code AS code, 'old ' || set_code AS name, game || '/' || set_code AS id FROM labelled
-  WHERE manufacturer = 'mtg' AND coalesce(set_code, '') <> '' GROUP BY ALL),
+target AS (SELECT CASE WHEN game IS NULL THEN 'other' ELSE game END AS game, set_code AS code, 'old ' || set_code AS name,
+    manufacturer || '/' || set_code AS id FROM labelled
+  WHERE manufacturer <> 'pokemon' AND coalesce(set_code, '') <> '' GROUP BY ALL),
 source AS (SELECT DISTINCT game, set_code AS code, upper(set_code) AS name FROM labelled
-  WHERE game IS NOT NULL AND coalesce(set_code, '') <> '' AND coalesce(collector_number, '') > '2')
+  WHERE game IS NOT NULL AND coalesce(set_code, '') <> '')
 SELECT coalesce(t.id, md5(concat_ws('|', s.game, s.code))) AS id, coalesce(s.game, t.game) AS game,
   coalesce(s.code, t.code) AS code, coalesce(s.name, t.name) AS name
 FROM target t FULL JOIN source s ON s.game = t.game AND s.code = t.code""")
 def upsert_sets(t: Tables) -> DataFrame:
     """Merge on (game, code): existing ids kept, names refreshed, rest inserted."""
     refs = V.references(t)
-    mine = refs.where((F.col("manufacturer") == "mtg") & (F.coalesce("set_code", F.lit("")) != ""))
-    target = mine.select(
-        F.concat_ws("/", F.lit("mtg"), "set_code").alias("id"), F.lit("mtg").alias("game"),
+    held = refs.where((F.col("manufacturer") != "pokemon") & (F.coalesce("set_code", F.lit("")) != ""))
+    target = held.select(
+        F.concat_ws("/", "manufacturer", "set_code").alias("id"),
+        F.coalesce(C.game_of(F.col("manufacturer")), F.lit("other")).alias("game"),
         F.col("set_code").alias("code"), F.concat(F.lit("old "), F.col("set_code")).alias("name")).distinct()
-    return C.upsert_sets(target, C.distinct_sets(refs.where(F.coalesce("collector_number", F.lit("")) > "2")))
+    return C.upsert_sets(target, C.distinct_sets(refs))
 
 
-@query("merge_by_key", sql="""WITH target AS (SELECT s_nationkey AS k, max(s_name) AS name, max(s_acctbal) AS bal
-  FROM supplier GROUP BY 1),
-source AS (SELECT c_nationkey AS k, arg_max(c_name, c_custkey) AS name,
-    arg_max(CASE WHEN c_acctbal > 0 THEN c_acctbal END, c_custkey) AS b0, max(c_custkey) AS last FROM customer
-  WHERE c_mktsegment = 'BUILDING' GROUP BY 1),
-src AS (SELECT s.k, s.name, CASE WHEN c.c_acctbal > 0 THEN c.c_acctbal END AS bal FROM source s
+@query("merge_by_key", sql="""WITH target AS (SELECT CASE WHEN s_acctbal > 5000 THEN 'x' ELSE 'n' END || s_nationkey AS k,
+    max(s_name) AS name, max(s_acctbal) AS bal FROM supplier GROUP BY 1),
+source AS (SELECT CASE WHEN c_acctbal > 5000 THEN 'y' ELSE 'n' END || c_nationkey AS k, max(c_custkey) AS last FROM customer GROUP BY 1),
+src AS (SELECT s.k, c.c_name AS name, CASE WHEN c.c_acctbal > 1000 THEN c.c_acctbal END AS bal FROM source s
   JOIN customer c ON c.c_custkey = s.last)
 SELECT coalesce(s.k, t.k) AS k, CASE WHEN s.k IS NULL THEN t.name ELSE s.name END AS name,
   CASE WHEN s.k IS NULL THEN t.bal ELSE s.bal END AS bal FROM target t FULL JOIN src s USING (k)""")
 def merge_rows(t: Tables) -> DataFrame:
     """Generic upsert: last source row of a key wins, nulls overwrite."""
-    target = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(
+    key = lambda bal, mark, nation: F.concat(F.when(F.col(bal) > 5000, F.lit(mark)).otherwise(F.lit("n")),
+                                             F.col(nation).cast("string")).alias("k")
+    target = t.supplier.groupBy(key("s_acctbal", "x", "s_nationkey")).agg(
         F.max("s_name").alias("name"), F.max("s_acctbal").alias("bal"))
-    source = t.customer.where("c_mktsegment = 'BUILDING'").select(
-        F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"),
-        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("bal"), "c_custkey")
+    source = t.customer.select(
+        key("c_acctbal", "y", "c_nationkey"), F.col("c_name").alias("name"),
+        F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal")).alias("bal"), "c_custkey")
     return merge_by_key(target, source, ["k"], order=[F.col("c_custkey")])
 
 

@@ -153,7 +153,7 @@ def url_checks(t: Tables) -> DataFrame:
     """Scheme, host and image-extension checks of every page URL."""
     u = F.col("url")
     return t.pages.select("page_id", X.is_https_url(u).alias("is_https"), X.is_image_url(u).alias("is_image"),
-                          X.url_part(u, "HOST").alias("host"))
+                          X.url_part(u, "NETLOC").alias("host"))
 
 
 # --------------------------------------------------------------- payloads

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slabspark import schemas as S
-from slabspark.functions.text import parse_key
+from slabspark.functions.text import parse_key, strip
 from slabspark.session import materialize
 
 
@@ -77,9 +77,9 @@ LABELS = T.StructType([T.StructField(n, T.StringType()) for n in ("image_path",
 
 def check_labels(rows: DataFrame) -> DataFrame:
     """Normalize label rows and add ``problem`` (null when the row is fine)."""
-    path = F.trim(F.coalesce("image_path", F.lit("")))
-    label = F.lower(F.trim(F.coalesce("ground_truth", F.lit(""))))
-    given = F.trim(F.coalesce("sample_id", F.lit("")))
+    path = strip(F.coalesce("image_path", F.lit("")))
+    label = F.lower(strip(F.coalesce("ground_truth", F.lit(""))))
+    given = strip(F.coalesce("sample_id", F.lit("")))
     name = F.regexp_extract(path, r"([^/]*)/*$", 1)
     stem = F.when(name.rlike(r"^.+\.[^.]+$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
     return rows.select(

@@ -95,8 +95,8 @@ def test_text_keys(spark):
 
 
 def test_urls(spark):
-    urls = ["https://h/x.JPG?y=1", "ftp://h/x.jpg", "https://h/x.gif", "nope", None]
-    assert many(spark, urls, "string", X.is_image_url) == [True, False, False, False, False]
+    urls = ["https://h/x.JPG?y=1", "ftp://h/x.jpg", "https://h/x.gif", "nope", None, "http://h/a b|c.png", "http://h/a.png;v=1", "http://h/q?x.png"]
+    assert many(spark, urls, "string", X.is_image_url) == [True, False, False, False, False, True, True, False]
     assert many(spark, ["https://h/a", "http://h/a", "https:///a", None], "string", X.is_https_url) == [True, False, False, False]
 
 
