@@ -72,7 +72,8 @@ def identify(
     neighbours = cosine_top_k(open_queries, catalog, "query_id", "embedding", "variant_id", "embedding",
                               k=k, dim=dim).withColumnRenamed("ref_id", "variant_id")
     ranked = rank_candidates(merge_candidates(hash_candidates(open_hits), embedding_candidates(neighbours)), k)
-    candidates = settled.unionByName(ranked)
+    # At most k short rows per query; decisions and callers read it several times.
+    candidates = materialize(settled.unionByName(ranked), "candidates")
     unmatched = queries.select("query_id").join(candidates.select("query_id").distinct(), "query_id", "left_anti")
     decisions = choose(candidates, min_accept).unionByName(unmatched.select(
         "query_id", F.lit(None).cast(dict(catalog.dtypes)["variant_id"]).alias("variant_id"),

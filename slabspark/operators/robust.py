@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slabspark import params as P
 from slabspark.functions.scalars import detector_score, mad_confidence
-from slabspark.operators.hot import exact_percentiles, ordered_scan
+from slabspark.operators.hot import exact_percentiles, ordered_scan, split_hot
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,10 +32,25 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return attach(mid, exact_percentiles(off, keys, "_dev", {"mad": 0.5}), keys)
 
 
+def with_median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows with their group's median and median absolute deviation.
+
+    Ordinary groups need one shuffle: both medians are window aggregates over
+    the same partitioning.  Hot groups join exact percentiles back instead.
+    """
+    rows = df.select(*keys, value).where(F.col(value).isNotNull())
+    ordinary, hot = split_hot(rows, keys)
+    group = Window.partitionBy(*keys)
+    out = ordinary.withColumn("median", F.percentile(value, F.lit(0.5)).over(group)).withColumn(
+        "_dev", F.abs(F.col(value) - F.col("median"))).withColumn(
+        "mad", F.percentile("_dev", F.lit(0.5)).over(group)).drop("_dev")
+    return out if hot is None else out.unionByName(attach(hot, median_and_mad(hot, keys, value), keys))
+
+
 def outlier_fraction(df: DataFrame, keys: Sequence[str], value: str, factor: float = P.MAD_FACTOR,
                      floor: float = P.MAD_FLOOR) -> DataFrame:
     """Per series: length, anomaly count and fraction of |x - median| > factor * max(MAD, floor)."""
-    flagged = attach(df.select(*keys, value).where(F.col(value).isNotNull()), median_and_mad(df, keys, value), keys)
+    flagged = with_median_and_mad(df, keys, value)
     far = F.abs(F.col(value) - F.col("median")) > F.lit(factor) * F.greatest(F.col("mad"), F.lit(floor))
     return flagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("length"), F.count_if(far).alias("anomaly_count"),

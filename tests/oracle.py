@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -55,6 +56,9 @@ def main(argv):
     spark = get_spark(master="local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false",
                       spark_driver_memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("HOT_ROWS"):  # force the range-sliced paths
+        spark.conf.set("spark.slabspark.hotGroupRows", os.environ["HOT_ROWS"])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     con = connect(sf)
     bad = 0
     for name, fn in QUERIES.items():

@@ -25,3 +25,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["population_stat", "fresh_prices", "latency_percentiles", "outlier_fraction", "track_lock",
+                                  "two_sided_thresholds", "triplets"])
+def test_query_with_every_group_hot(spark, sf, con, hot, name):
+    assert rows_of_spark(QUERIES[name](spark, sf)) == rows_of_sql(con, ORACLE[name])
