@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from slabspark.functions.text import group_key
 from slabspark.operators.hot import global_positions, hash_cut, row_numbers
+from slabspark.session import materialize
 
 
 def seeded(seed: str, *parts: Column) -> Column:
@@ -99,11 +100,13 @@ def triplets(rows: DataFrame, sample: str, key: str = "key", cert: str = "cert_i
     are equi-joins on a position; no pairs are enumerated.
     """
     # 0-based position within the key
-    numbered = row_numbers(rows.select(sample, key, cert), [key], [(cert, True), (sample, True)], "_pos").withColumn(
-        "_pos", F.col("_pos") - 1)
+    columns = list(dict.fromkeys((sample, key, cert)))  # sample and cert may be one column
+    order = [(c, True) for c in dict.fromkeys((cert, sample))]
+    numbered = row_numbers(rows.select(*columns), [key], order, "_pos").withColumn("_pos", F.col("_pos") - 1)
+    numbered = materialize(numbered, "in-key")  # narrow; read for runs, anchors and positives
     runs = numbered.groupBy(key, cert).agg(F.max("_pos").alias("_end"), F.count(F.lit(1)).alias("_own"))
     runs = runs.join(runs.groupBy(key).agg(F.sum("_own").alias("_n")), key).where("_n > _own")
-    where_ = global_positions(rows, sample, seed)
+    where_ = materialize(global_positions(rows, sample, seed), "positions")
     total = where_.agg(F.count(F.lit(1))).scalar()
     anchors = numbered.join(runs, [key, cert]).join(where_, sample).withColumn("_total", total)
     shift = F.pmod(seeded(seed + "+", F.col(sample)), F.col("_n") - F.col("_own"))
