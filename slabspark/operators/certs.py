@@ -81,17 +81,20 @@ def latest_within(requests: DataFrame, snapshots: DataFrame, keys: list[str], at
                             F.struct(F.col(fetched).alias("fetched_at"), *values).alias("_snap"))
     # several snapshots of one instant: keep one, so the order below is total
     snap = snap.groupBy(*keys, "_t", "_k", "_id").agg(F.max("_snap").alias("_snap"))
+    # the whole request rides along, so nothing has to be joined back
     ask = requests.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_k"),
                           F.col(request_id).cast("string").alias("_id"),
-                          F.lit(None).cast(snap.schema["_snap"].dataType).alias("_snap"))
-    both = ordered_scan(snap.unionByName(ask), keys, [("_t", True), ("_k", True), ("_id", True)],
-                        lasts={"_found": "_snap"}, bound=snapshots.select(*keys).unionByName(requests.select(*keys)))
+                          F.lit(None).cast(snap.schema["_snap"].dataType).alias("_snap"),
+                          F.struct(*requests.columns).alias("_ask"))
+    both = ordered_scan(snap.unionByName(ask, allowMissingColumns=True), keys,
+                        [("_t", True), ("_k", True), ("_id", True)], lasts={"_found": "_snap"},
+                        bound=snapshots.select(*keys).unionByName(requests.select(*keys)))
     hits = both.where(F.col("_k") == 1)
     age = F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_found.fetched_at").cast("timestamp"))
     fresh = age < F.lit(ttl_seconds * 1_000_000)
-    found = hits.select(F.col("_id").alias("_rid"), *[F.when(fresh, F.col(f"_found.{c}")).alias(c)
-                                                      for c in ("fetched_at", *values)])
-    return requests.join(found, requests[request_id].cast("string") == found["_rid"], "left").drop("_rid")
+    for key in keys:
+        fresh = fresh & F.col(key).isNotNull()
+    return hits.select("_ask.*", *[F.when(fresh, F.col(f"_found.{c}")).alias(c) for c in ("fetched_at", *values)])
 
 
 def certificates(submissions: DataFrame, grades: DataFrame, authenticity: DataFrame, variants: DataFrame,
