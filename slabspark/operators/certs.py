@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slabspark.operators.hot import competition_ranks, ordered_scan, row_numbers, same_keys, split_hot
+from slabspark.operators.hot import competition_ranks, ordered_scan, row_numbers, split_hot
 from slabspark.operators.robust import attach
 from slabspark.params import SCHEMES
 
@@ -126,7 +126,3 @@ def certificates(submissions: DataFrame, grades: DataFrame, authenticity: DataFr
         "auth_verdict", "auth_confidence", "auth_reasons",
         *[F.when(F.col("ranked"), F.col(c)).alias(c)
           for c in ("total_graded", "this_rank", "max_grade", "chronological_index")])
-
-
-__all__ = ["graded", "population", "primary_grades", "identified_cards", "latest_within", "certificates",
-           "same_keys"]

@@ -10,7 +10,7 @@ from slabspark.functions import scalars as S
 from slabspark.functions import vectors as VF
 from slabspark.operators import authenticity
 from slabspark.operators.identify import (
-    embedding_candidates, hash_candidates, identify, merge_candidates, rank_candidates, write_back)
+    embedding_candidates, hash_candidates, identify, merge_candidates, write_back)
 from slabspark.operators.search import cosine_top_k, near_hash_join
 from slabspark.registry.core import Tables, query
 
