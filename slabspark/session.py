@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,7 @@ RECOMMENDED_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
 _LOCAL_ROOTS: dict[str, str | None] = {}
 
 
@@ -39,7 +42,29 @@ def get_spark(app_name: str = "slabspark", master: str | None = None, **conf: st
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), str(value))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application.
+
+    Workers start in a folder of their own and don't see the driver's path.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="slabspark-code-"), "slabspark.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("slabspark", os.path.relpath(path, top)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
 
 
 def scratch_root(spark: SparkSession) -> str:
