@@ -28,6 +28,8 @@ from slabspark.llm.graph import components
 SEED = 42
 #: Rows of one block key that are compared in one piece; more are dealt out in pairs of pieces.
 CROWD = 2048
+#: Up to so many rows to drop are broadcast (16 bytes each, under 100 MB as a hash table); more meet the documents in a shuffle.
+BROADCAST_ROWS = 1_000_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
 
@@ -300,9 +302,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     found = materialize(near_duplicates(docs, similarity, id_col=id_col, text_col=text_col), "near-duplicates")
     rows = found.filter("id is not null").groupBy("id", "copy").agg(F.max(F.expr("id <> component")).alias("drop"), F.count("*").alias("n"))
     rows = materialize(rows.filter("drop or n > 1").select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), "drop"), "dropped-rows")
+    dropped, again = rows.drop("drop"), rows.filter("not drop").drop("drop")
+    if rows.count() <= BROADCAST_ROWS:
+        dropped, again = F.broadcast(dropped), F.broadcast(again)
     same = lambda left: (left[id_col].cast("long") == F.col("__id")) & (F.xxhash64(left[text_col]) == F.col("__copy"))
-    kept = docs.join(rows.drop("drop"), same(docs), "left_anti")
-    again = rows.filter("not drop").drop("drop")
+    kept = docs.join(dropped, same(docs), "left_anti")
     if again.isEmpty():
         return kept
     return kept.unionByName(docs.join(again, same(docs), "left_semi").dropDuplicates([id_col, text_col]))
