@@ -17,13 +17,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words whose encoding a worker remembers, twice this many at most.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 #: Characters whose normalization and splitting are plain; a text with others goes through the library's splitter.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-ž]")
 
@@ -87,7 +87,7 @@ class WordBpe:
     def _fit(self, a: str, b: str) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             known = self.fits[a, b] = self._merged(a + b) == [a, b]
         return known
@@ -190,23 +190,26 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     path = path or vocabulary_path()
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for pdf in frames:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a : a + 500]
-                rows = []
-                for text in part["text"].tolist():
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                piece = batch.slice(a, 256)
+                out: list[list] = [[] for _ in range(5 if full else 3)]
+                for text in piece.column("text").to_pylist():
                     ids, names = coder.encode(text)
-                    more = ([int(x) for x in ids.split()], names) if full else ()
-                    rows.append((ids.count(" ") + 1 if ids else 0, digest(ids), digest(names), *more))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])])
-                out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
-                yield out
+                    for column, value in zip(out, (ids.count(" ") + 1 if ids else 0, digest(ids), digest(names))):
+                        column.append(value)
+                    if full:
+                        out[3].append([int(x) for x in ids.split()])
+                        out[4].append(names)
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+                arrays = [pa.array(x, k) for x, k in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays) + 1])
 
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return few.mapInPandas(run, kind)
+    return few.mapInArrow(run, kind)
 
 
 def op10_bpe(spark, sf_dir) -> DataFrame:

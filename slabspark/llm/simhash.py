@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def _majorities(hashes: np.ndarray, owner: np.ndarray, n: int, bits: int) -> np.
     out = np.empty((n, bits // 8), np.uint8)
     shifted = owner * 256
     for w in range(bits // 64):
-        lane = hashes if w == 0 else mix(hashes + np.uint64(w) * np.uint64(0x9E3779B97F4A7C15))
+        lane = hashes if w == 0 else mix(hashes + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         column = lane.astype(">u8").view(np.uint8).reshape(-1, 8)
         for b in range(8):
             counts = np.bincount(shifted + column[:, b], minlength=n * 256).reshape(n, 256)
@@ -78,31 +79,25 @@ def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, bands: int = 0,
     Repeated rows are kept; other columns aren't looked at.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts = pdf["text"].tolist()
-            for a, b in slices(texts, 1_000_000):
-                for c in range(a, b, 256):
-                    part = [shingle_hashes(t, size) for t in texts[c : min(b, c + 256)]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in range(0, batch.num_rows, 256):
+                piece = batch.slice(c, 256)
+                texts = piece.column("text").to_pylist()
+                for a, b in slices(texts, 1_000_000):
+                    part = [shingle_hashes(t, size) for t in texts[a:b]]
                     n = np.array([len(h) for h in part])
                     hashes = np.concatenate(part)
                     fp = _majorities(hashes, np.repeat(np.arange(len(part)), n), len(part), bits)
                     keys = np.zeros((len(part), bands), np.int64)
                     if bands and len(hashes):
                         keys[n > 0] = _least_keys(hashes, (np.cumsum(n) - n)[n > 0], bands, rows)
-                    yield pd.DataFrame({"id": pdf["id"].iloc[c : c + len(part)], "copy": pdf["copy"].iloc[c : c + len(part)], "fp": [x.tobytes() for x in fp], "keys": list(keys)})
+                    rest = [pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
+                    own = piece.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([own.column("id"), own.column("copy"), *rest], ["id", "copy", "fp", "keys"])
 
     few = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).cast("string").alias("text"))
-    return few.mapInPandas(_nullable(run), "id long, copy long, fp binary, keys array<long>")
-
-
-def _nullable(run):
-    """pandas shows a long column with nulls as floats; ids travel as Int64 instead."""
-
-    def wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return run(pdf.assign(id=pdf["id"].astype("Int64")) for pdf in frames)
-
-    return wrapped
+    return few.mapInArrow(run, "id long, copy long, fp binary, keys array<long>")
 
 
 def band_keys(fp: Column, radius: int) -> Column:
