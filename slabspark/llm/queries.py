@@ -7,6 +7,8 @@ from slabspark.llm.decontaminate import op3_decontamination
 from slabspark.llm.langid import op2_language
 from slabspark.llm.secrets import op5_secrets
 from slabspark.llm.simhash import op1_simhash
+from slabspark.llm.substrings import op6_substring_dedup
+from slabspark.llm.urls import OP4_SQL, op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_decontamination, op5_secrets, op10_bpe)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_decontamination, op4_url_filter, op5_secrets, op6_substring_dedup, op10_bpe)}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
