@@ -26,7 +26,7 @@ from slabspark.llm.common import materialize, mix, table, words
 WINDOW = 50
 BLOCK = 8
 STRIDE = 5
-#: Up to so many documents, and anchors in them, are broadcast; more meet the texts in a shuffle.
+#: Up to so many documents, and ranges in them, are broadcast; more meet the texts in a shuffle.
 BROADCAST_DOCS, BROADCAST_SPANS = 500_000, 2_000_000
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -105,17 +105,38 @@ def _anchors(window: int, block: int, stride: int):
     return run
 
 
+def _covered(spans: list[int], n: int, before: int, after: int) -> np.ndarray:
+    """Which of ``n`` places lie in a range (first, last, first, last, ...) made longer on both sides."""
+    ends = np.array(spans, np.int64).reshape(-1, 2)
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.clip(ends[:, 0] - before, 0, n), 1)
+    np.add.at(change, np.clip(ends[:, 1] + after + 1, 0, n), -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def _ranges(gap: int):
+    """Sorted places, joined to ranges if no further apart than ``gap``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for places in batch.column("places"):
+                at = np.sort(places.values.to_numpy())
+                cut = np.flatnonzero(np.diff(at) > gap)
+                out.append(np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]], axis=1).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("copy"), pa.array(out, pa.list_(pa.int32()))], ["doc", "copy", "spans"])
+
+    return run
+
+
 def _windows(window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for doc, copy, text, spans in _pieces(batch, "spans"):
                 h = word_hashes(words(text, lower=False))
-                near = np.zeros(len(h) + 1, np.int64)
-                at = np.array(spans)
-                np.add.at(near, np.maximum(at - (window - block), 0), 1)
-                np.add.at(near, np.minimum(at + 1, len(h)), -1)
-                pos = np.flatnonzero(np.cumsum(near)[: max(0, len(h) - window + 1)] > 0)
+                near = _covered(spans, len(h), window - block, 0)
+                pos = np.flatnonzero(near[: max(0, len(h) - window + 1)])
                 parts.append((rolling(h, window)[pos], rolling(h, window, 1)[pos], doc, copy, pos))
             if parts:
                 yield _first_of_batch(parts, True)
@@ -127,14 +148,10 @@ def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc, copy, text, starts in _pieces(batch, "spans"):
+            for doc, copy, text, spans in _pieces(batch, "spans"):
                 tokens = words(text, lower=False)
-                gone = np.zeros(len(tokens) + 1, np.int64)
-                at = np.array(starts)
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
-                stay = np.cumsum(gone)[:-1] == 0
-                left = [t for t, s in zip(tokens, stay.tolist()) if s]
+                gone = _covered(spans, len(tokens), 0, window - 1)
+                left = [t for t, g in zip(tokens, gone.tolist()) if not g]
                 for column, value in zip(out, (doc, copy, len(tokens) - len(left), hashlib.sha256(b" ".join(left)).hexdigest())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc", "copy", "n_removed", "kept"])
@@ -152,9 +169,10 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("copy"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], ["doc", "copy", "n_words", "whole"])
 
 
-def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts of the documents that have spans (doc, copy, pos), with all of them in one array."""
-    spans = materialize(spans.groupBy("doc", "copy").agg(F.collect_set("pos").alias("spans")), "spans")
+def _with_spans(texts: DataFrame, places: DataFrame, gap: int) -> DataFrame:
+    """Texts of the documents that have places (doc, copy, pos), with these as ranges in one array."""
+    places = places.groupBy("doc", "copy").agg(F.collect_set("pos").alias("places"))
+    spans = materialize(places.mapInArrow(_ranges(gap), "doc long, copy long, spans array<int>"), "spans")
     size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     spans = F.broadcast(spans) if size[0] <= BROADCAST_DOCS and size[1] <= BROADCAST_SPANS else spans
     return texts.join(spans, ["doc", "copy"]).select("doc", "copy", "text", "spans")
@@ -182,9 +200,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, s
     own = F.when(F.col("sent"), F.col("doc"))
     anchors = fresh.mapInArrow(_anchors(window, block, stride), _ROWS)
     anchors = anchors.withColumn("low", F.min(own).over(by)).withColumn("high", F.max(own).over(by)).filter("sure or low < high")
-    found = _with_spans(fresh, anchors.select("doc", "copy", "pos")).mapInArrow(_windows(window, block), _ROWS)
+    found = _with_spans(fresh, anchors.select("doc", "copy", "pos"), window - block + 1).mapInArrow(_windows(window, block), _ROWS)
     repeats = found.withColumn("low", F.min(own).over(by)).filter("sure or doc > low")
-    kept = _with_spans(fresh, repeats.select("doc", "copy", "pos")).mapInArrow(_kept(window), "doc long, copy long, n_removed long, kept string").distinct()
+    kept = _with_spans(fresh, repeats.select("doc", "copy", "pos"), 1).mapInArrow(_kept(window), "doc long, copy long, n_removed long, kept string").distinct()
     gone = again.select("doc", "copy", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept"))
     out = narrow.join(kept.union(gone), ["doc", "copy"], "left")
     removed = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.coalesce("n_removed", "n_words")).cast("long")
