@@ -27,8 +27,10 @@ from slabspark.llm.langid import remainder
 COMMON_WORDS = 400_000
 #: Weight of the end of a text among what the spelling model expects, and of characters outside the vocabulary.
 END_WEIGHT, UNKNOWN_WEIGHT = 1e-3, 1e-4
-#: Spellings a worker remembers.
-REMEMBERED = 100_000
+#: Spellings a worker remembers, twice this many at most.
+REMEMBERED = 150_000
+#: Least probability of a word, for words so long that theirs can't be held in a float.
+TINY = 1e-300
 #: No word is empty, so this stands for the end of a text.
 END = b""
 
@@ -52,36 +54,47 @@ class Lattice:
         weight = np.exp(score) if score.min() > -100 else 1 / (2.7 + score.max() - score)
         weight = np.log(weight / weight.sum() * (1 - UNKNOWN_WEIGHT))
         self.pieces = {model.id_to_piece(i): float(w) for i, w in zip(ids, weight)}
-        self.longest = max(map(len, self.pieces))
+        self.starts = {p[:i] for p in self.pieces for i in range(1, len(p))}
         self.byte = math.log(UNKNOWN_WEIGHT / 256)
-        self.known: dict[bytes, float] = {}
+        self.young: dict[bytes, tuple[int, float]] = {}
+        self.old: dict[bytes, tuple[int, float]] = {}
 
     def marginal(self, word: str) -> float:
         """ln of the summed weights of all ways to spell ``word``; bytes stand in for characters that no piece covers."""
         text = "▁" + word
-        forward = [0.0] + [-math.inf] * len(text)
-        pieces = self.pieces
-        for end in range(1, len(text) + 1):
-            terms = []
-            for start in range(max(0, end - self.longest), end):
-                weight = pieces.get(text[start:end])
+        n = len(text)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        pieces, starts = self.pieces, self.starts
+        for at in range(n + 1):
+            terms = into[at]
+            if len(terms) == 1:
+                here = terms[0]
+            else:
+                top = max(terms)
+                here = top + math.log(sum([math.exp(t - top) for t in terms]))
+            if at == n:
+                return here
+            if text[at] not in pieces:
+                into[at + 1].append(here + self.byte * len(text[at].encode("utf-8", "surrogatepass")))
+            for end in range(at + 1, n + 1):
+                part = text[at:end]
+                weight = pieces.get(part)
                 if weight is not None:
-                    terms.append(forward[start] + weight)
-            if text[end - 1] not in pieces:
-                terms.append(forward[end - 1] + self.byte * len(text[end - 1].encode("utf-8", "surrogatepass")))
-            top = max(terms)
-            forward[end] = top + math.log(sum([math.exp(t - top) for t in terms]))
-        return forward[-1]
-
-    def weight(self, word: bytes) -> float:
-        """Probability of a word, or of the end of a text, under the spelling model; as a natural log."""
-        if word == END:
-            return math.log(END_WEIGHT)
-        found = self.known.get(word)
+                    into[end].append(here + weight)
+                if part not in starts:
+                    break
+
+    def entry(self, word: bytes) -> tuple[int, float]:
+        """The hash of a word (or of the end of a text) and its probability under the spelling model."""
+        found = self.young.get(word)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = self.marginal(word.decode("utf-8", "surrogatepass")) + math.log1p(-END_WEIGHT)
+            found = self.old.get(word)
+            if found is None:
+                found = _hash(word), math.exp(self.marginal(word.decode("utf-8", "surrogatepass")) + math.log1p(-END_WEIGHT)) if word != END else END_WEIGHT
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
         return found
 
 
@@ -155,9 +168,10 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, path: str | None = No
                 for text in piece.column("text").to_pylist():
                     count = Counter(words(text))
                     count[END] += 1
-                    h = np.array([_hash(w) for w in count], np.int64)
+                    entries = [lattice.entry(w) for w in count]
+                    h = np.array([e[0] for e in entries], np.int64)
                     tf = np.fromiter(count.values(), np.int64, len(count))
-                    spelled = np.exp(np.array([lattice.weight(w) for w in count]))
+                    spelled = np.maximum(np.array([e[1] for e in entries]), TINY)
                     at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
                     hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
                     c = known[at[hit]] if len(hashes) else np.empty(0)
