@@ -62,8 +62,8 @@ def centering_from_ratios(faces: DataFrame, key: str = "submission_id") -> DataF
 
 
 def edge_face(sides: DataFrame, keys: list[str]) -> DataFrame:
-    """Per-side counts (anomaly_count, length) -> fraction, subgrade, confidence."""
-    share = F.col("anomaly_count") / F.col("length")
+    """Per-side counts (anomaly_count, length) -> fraction, subgrade, confidence; a side without length has no anomalies."""
+    share = F.coalesce(F.try_divide(F.col("anomaly_count"), F.col("length")), F.lit(0.0))
     return sides.groupBy(*keys).agg(
         F.try_divide(F.sum("anomaly_count"), F.sum("length")).alias("fraction"),
         (F.max(share) - F.min(share)).alias("spread"),

@@ -133,14 +133,18 @@ def _sliced_scan(df, keys, order, sums, lags, lasts) -> DataFrame:
     own = ~F.col("_halo")
     return joined.select(
         *columns, "_halo",
-        *[(F.coalesce(F.col(f"_carry_{n}"), F.lit(0)) + F.sum(F.when(own, F.col(f"_in_{n}"))).over(rows)).alias(n)
-          for n in sums],
+        *[_added(F.col(f"_carry_{n}"), F.sum(F.when(own, F.col(f"_in_{n}"))).over(rows)).alias(n) for n in sums],
         *[F.lag(c, k).over(window).alias(n) for n, (c, k) in lags.items()],
         *[F.coalesce(F.last(F.when(own, F.col(c)), ignorenulls=True).over(rows), F.col(f"_carry_{n}")).alias(n)
           for n, c in lasts.items()],
     ).where(own).drop("_halo")
 
 
+def _added(carry: Column, here: Column) -> Column:
+    """Sum of two sums, of which either may have seen no value yet."""
+    return F.when(carry.isNull(), here).when(here.isNull(), carry).otherwise(carry + here)
+
+
 def _halo(sliced, per_slice, keys, order, depth) -> DataFrame:
     """Last ``depth`` rows of each slice, copied into the next ``depth`` slices of the key."""
     flipped = [F.col(c).desc_nulls_last() if up else F.col(c).asc_nulls_first() for c, up in order]

@@ -91,20 +91,22 @@ _LEAVES = ArrayType(StructType([StructField("path", StringType()), StructField("
 def json_text_leaves(documents: pd.Series) -> pd.Series:
     """String leaves of a JSON tree of any depth with their lower-cased path."""
 
-    def leaves(node, path=""):
-        if isinstance(node, str):
-            yield {"path": path, "value": node}
-        elif isinstance(node, dict):
-            for key, child in node.items():
-                yield from leaves(child, f"{path}.{key}".lower())
-        elif isinstance(node, list):
-            for at, child in enumerate(node):
-                yield from leaves(child, f"{path}[{at}]")
+    def leaves(tree):
+        found, todo = [], [(tree, "")]
+        while todo:  # a stack of its own: nesting has no limit
+            node, path = todo.pop()
+            if isinstance(node, str):
+                found.append({"path": path, "value": node})
+            elif isinstance(node, dict):
+                todo.extend((child, f"{path}.{key}".lower()) for key, child in reversed(node.items()))
+            elif isinstance(node, list):
+                todo.extend((child, f"{path}[{at}]") for at, child in reversed(list(enumerate(node))))
+        return found
 
     def parse(doc):
         try:
-            return list(leaves(json.loads(doc)))
-        except (TypeError, ValueError):
+            return leaves(json.loads(doc))
+        except (TypeError, ValueError, RecursionError):  # too deep for the parser: as unreadable as broken text
             return []
 
     return documents.map(parse)

@@ -16,9 +16,9 @@ from slabspark.session import materialize
 
 
 def seeded(seed: str, *parts: Column) -> Column:
-    """Non-negative 32-bit value of md5(seed|parts)."""
+    """Non-negative 60-bit value of md5(seed|parts)."""
     text = F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def trainable(certs: DataFrame, low: float = 1.0, high: float = 10.0, files: DataFrame | None = None) -> DataFrame:

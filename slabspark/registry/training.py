@@ -91,7 +91,7 @@ def corner_samples(t: Tables) -> DataFrame:
 @query("triplets", sql=f"""{ROW_SQL}, {SPLIT_SQL.format('multi', 'cert_id', '7')},
 pos AS (SELECT cert_id, key, row_number() OVER (PARTITION BY key ORDER BY cert_id) - 1 AS p, count(*) OVER (PARTITION BY key) AS n FROM multi),
 h AS (SELECT x.cert_id, x.key, x.p, x.n, y.pos, y.n AS total,
-    CAST('0x' || substr(md5('7+|' || x.cert_id), 1, 8) AS BIGINT) AS hp, CAST('0x' || substr(md5('7-|' || x.cert_id), 1, 8) AS BIGINT) AS hn
+    CAST('0x' || substr(md5('7+|' || x.cert_id), 1, 15) AS BIGINT) AS hp, CAST('0x' || substr(md5('7-|' || x.cert_id), 1, 15) AS BIGINT) AS hn
   FROM pos x JOIN placed y ON y.id = x.cert_id)
 SELECT h.cert_id AS anchor, q.cert_id AS positive, z.id AS negative FROM h
 JOIN pos q ON q.key = h.key AND q.p = (h.p + 1 + h.hp % (h.n - 1)) % h.n

@@ -117,14 +117,14 @@ def daily_budget_windows(calls: DataFrame, source: str, ts: str, cost: Column, c
 
 
 def upsert_batches(store: TableStore, table: str, keys: list[str], schema: T.StructType,
-                   partition_by: list[str]) -> Callable:
-    """foreachBatch body that keeps the newest value per key (replays are harmless).
+                   partition_by: list[str], order: list[Column]) -> Callable:
+    """foreachBatch body that keeps the last row per key in ``order`` (replays are harmless).
 
     Only the partitions a batch touches are rewritten.
     """
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        store.upsert_partitions(table, batch.select(*schema.fieldNames()), keys, schema, partition_by)
+        store.upsert_partitions(table, batch.select(*schema.fieldNames()), keys, schema, partition_by, order)
 
     return write
 

@@ -35,6 +35,7 @@ def test_ordered_scan(rows, hot):
     for want in _plain(rows).collect():
         r = got[want.id]
         assert (r.n, r.l1, r.l3, r.lv) == (want.n, want.l1, want.l3, want.lv)
+        assert (r.s is None) == (want.s is None)
         assert (r.s or 0.0) == pytest.approx(want.s or 0.0)
 
 
