@@ -76,12 +76,12 @@ def text_vectors(texts: list[str | None], dims: int = DIMENSIONS) -> np.ndarray:
             first = owner[i]
             own = owner[i : i + _PIECE] - first
             n = int(own[-1]) + 1
-            for g in range(0, len(seen), 8192):
-                here = (where >= g) & (where < g + 8192)
-                width = min(8192, len(seen) - g)
-                for d in range(0, n, 256):
-                    rows = here & (own >= d) & (own < d + 256)
-                    m = min(256, n - d)
+            for g in range(0, len(seen), 4096):
+                here = (where >= g) & (where < g + 4096)
+                width = min(4096, len(seen) - g)
+                for d in range(0, n, 128):
+                    rows = here & (own >= d) & (own < d + 128)
+                    m = min(128, n - d)
                     counts = np.bincount((own[rows] - d) * width + where[rows] - g, minlength=m * width).reshape(m, width)
                     out[a + first + d : a + first + d + m] += counts.astype(np.float32) @ _ngram_vectors(seen[g : g + width], dims).astype(np.float32)
     return out
