@@ -28,7 +28,7 @@ COMMON_WORDS = 400_000
 #: Weight of the end of a text among what the spelling model expects, and of characters outside the vocabulary.
 END_WEIGHT, UNKNOWN_WEIGHT = 1e-3, 1e-4
 #: Spellings a worker remembers, twice this many at most.
-REMEMBERED = 150_000
+REMEMBERED = 350_000
 #: Least probability of a word, for words so long that theirs can't be held in a float.
 TINY = 1e-300
 #: No word is empty, so this stands for the end of a text.
@@ -65,14 +65,17 @@ class Lattice:
         n = len(text)
         into: list[list[float]] = [[] for _ in range(n + 1)]
         into[0].append(0.0)
-        pieces, starts = self.pieces, self.starts
+        pieces, starts, exp, log, log1p = self.pieces, self.starts, math.exp, math.log, math.log1p
         for at in range(n + 1):
             terms = into[at]
             if len(terms) == 1:
                 here = terms[0]
+            elif len(terms) == 2:
+                a, b = terms
+                here = a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
             else:
                 top = max(terms)
-                here = top + math.log(sum([math.exp(t - top) for t in terms]))
+                here = top + log(sum([exp(t - top) for t in terms]))
             if at == n:
                 return here
             if text[at] not in pieces:
@@ -168,7 +171,8 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, path: str | None = No
                 for text in piece.column("text").to_pylist():
                     count = Counter(words(text))
                     count[END] += 1
-                    entries = [lattice.entry(w) for w in count]
+                    young = lattice.young
+                    entries = [young.get(w) or lattice.entry(w) for w in count]
                     h = np.array([e[0] for e in entries], np.int64)
                     tf = np.fromiter(count.values(), np.int64, len(count))
                     spelled = np.maximum(np.array([e[1] for e in entries]), TINY)
