@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -36,6 +37,17 @@ _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(4096)
+def _marked(names: str) -> bool:
+    return bool(MARKS.search(names))
+
+
+@lru_cache(4096)
+def _kind(names: str) -> str:
+    """The classes of a tag without their numbers, in order."""
+    return ".".join(sorted({_DIGITS.sub("", c) for c in names.lower().split()} - {""}))
+
+
 class _Page(HTMLParser):
     """Blocks of text with the container they stand in, in page order."""
 
@@ -48,7 +60,12 @@ class _Page(HTMLParser):
         self.open: list[str] = []
         self.linked = 0
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers
+
     def flush(self) -> None:
+        if not self.open:
+            return
         text = _SPACE.sub(" ", "".join(self.open)).strip()
         if text:
             self.blocks.append((self.container(), text, self.linked))
@@ -73,12 +90,12 @@ class _Page(HTMLParser):
                 break
         if tag in VOID:
             return
-        values = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")}
+        values = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")} if attrs else {}
         hidden = bool(self.stack and self.stack[-1][2]) or tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true"
-        hidden = hidden or tag not in ("html", "body", "article", "main") and bool(MARKS.search(" ".join(values.get(k, "") for k in ("class", "id", "role"))))
+        hidden = hidden or bool(values) and tag not in ("html", "body", "article", "main") and _marked(" ".join(values.get(k, "") for k in ("class", "id", "role")))
         at = self.container()
         if tag in CONTAINERS:
-            kind = ".".join(sorted({_DIGITS.sub("", c) for c in values.get("class", "").lower().split()} - {""}))
+            kind = _kind(values.get("class", ""))
             self.paths.append(f"{self.paths[at]}/{tag}" + f".{kind}" * bool(kind))
             self.above.append(at)
             at = len(self.paths) - 1
