@@ -31,7 +31,8 @@ masks AS (
     coalesce(list_sum(list_transform(f, lambda p: CASE WHEN p >= 32 THEN 1::BIGINT << CAST(p - 32 AS INT) ELSE 0 END)), 0)::BIGINT AS mhi
   FROM flips),
 probes AS (SELECT b.vec_id, b.label, xor(b.lo, m.mlo) AS lo, xor(b.hi, m.mhi) AS hi,
-    list_concat(b.e[1:48], list_transform(range(0, 16), lambda i: 0.0)) AS e FROM bits b JOIN masks m USING (vec_id)),
+    list_transform(range(0, 64), lambda i: CAST(CAST(b.e[i + 1] * (1 + ((i * 7 + b.vec_id) % 5) / 8.0::DOUBLE) AS FLOAT) AS DOUBLE)) AS e
+  FROM bits b JOIN masks m USING (vec_id)),
 hash_hits AS (
   SELECT q.vec_id AS query_id, c.vec_id AS variant_id,
     bit_count(xor(q.lo, c.lo)) + bit_count(xor(q.hi, c.hi)) AS distance
@@ -58,10 +59,10 @@ def _probe_rows(vectors: DataFrame) -> DataFrame:
         "shiftleft", F.lit(1).cast("bigint"), F.pmod(j * 7 + F.col("vec_id"), F.lit(64)).cast("int"))
     positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     mask = F.aggregate(F.transform(positions, bit), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
-    cut = F.concat(F.slice("embedding", 1, 48), F.array_repeat(F.lit(0.0).cast("float"), 16))
+    moved = F.transform("embedding", lambda x, i: (x.cast("double") * (1 + F.pmod(i * 7 + F.col("vec_id"), F.lit(5)) / 8.0)).cast("float"))
     return vectors.select(
         F.col("vec_id").alias("query_id"), "label",
-        H.sign_signature(F.col("embedding")).bitwiseXOR(mask).alias("phash"), cut.alias("embedding"))
+        H.sign_signature(F.col("embedding")).bitwiseXOR(mask).alias("phash"), moved.alias("embedding"))
 
 
 @query("signature_codec", sql=f"""WITH {SIGNATURE_SQL}
