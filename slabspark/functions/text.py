@@ -88,12 +88,61 @@ def strip_tags(c: Column) -> Column:
     return collapse(out)
 
 
-def definition_map(html: Column, pattern: str = P.DEFINITION_PAIR_HTML) -> Column:
-    """<dt>/<dd> pairs as label -> value; blank parts dropped, first label wins.
+def start_tags(html: Column, name: str = "[a-z][a-z0-9]*", with_text: bool = False) -> Column:
+    """All start tags of a kind in page order, with the text right behind each if wanted."""
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b[^<>]*>" + r"[^<]*" * with_text), F.lit(0))
 
-    ``pattern`` may name other markup with the label in group 1 and the value
-    in group 2.
-    """
+
+def elements(html: Column, name: str) -> Column:
+    """All elements of a kind up to their end tags, in page order."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>"), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of the first tag in ``tag``, in quotes of either kind; empty if it isn't there."""
+    head = F.regexp_extract(tag, r"^<[^>]*>", 0)
+    pattern = rf"""(?i)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    return F.concat(F.regexp_extract(head, pattern, 1), F.regexp_extract(head, pattern, 2))
+
+
+def first_where(values: Column, test) -> Column:
+    return F.get(F.filter(values, test), F.lit(0))
+
+
+def page_title(html: Column) -> Column:
+    """Text of the first heading of a title class, else of the first heading."""
+    heads = elements(html, "h1")
+    named = first_where(heads, lambda e: attribute(e, "class").rlike("(?i)" + "|".join(P.TITLE_CLASSES)))
+    return strip_tags(F.coalesce(named, F.get(heads, F.lit(0))))
+
+
+def page_grade(html: Column) -> Column:
+    """Number right behind a tag whose class speaks of a grade, else of a data-grade attribute; null if none."""
+    shown = F.transform(
+        F.filter(start_tags(html, with_text=True), lambda t: attribute(t, "class").rlike("(?i)grade")),
+        lambda t: F.regexp_extract(F.regexp_replace(t, r"^<[^>]*>", ""), P.GRADE_TEXT, 1))
+    stored = F.transform(start_tags(html), lambda t: F.regexp_extract(attribute(t, "data-grade"), r"^(\d{1,2}(?:\.5)?)$", 1))
+    return F.coalesce(first_where(shown, lambda g: g != ""), first_where(stored, lambda g: g != ""))
+
+
+def page_image(html: Column, side: str) -> Column:
+    """Source of the first image one of whose class words is ``side``; null if none."""
+    own = F.filter(start_tags(html, "img"), lambda t: F.array_contains(F.split(F.lower(attribute(t, "class")), r"[^a-z0-9_]+"), side))
+    return first_where(F.transform(own, lambda t: attribute(t, "src")), lambda s: s != "")
+
+
+def definition_map(html: Column) -> Column:
+    """Terms of definition lists with the descriptions that follow them; blank parts dropped, first term wins."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<d[td]\b[^>]*>.*?(?=</?d[tdl]\b|$)"), F.lit(0))  # end tags may be missing
+    pairs = F.transform(found, lambda e, i: F.struct(
+        F.when(e.rlike("(?i)^<dt"), F.lower(F.regexp_replace(strip_tags(e), ":+$", ""))).otherwise(F.lit("")).alias("label"),
+        F.when(F.get(found, i + 1).rlike("(?i)^<dd"), strip_tags(F.get(found, i + 1))).otherwise(F.lit("")).alias("value"),
+    ))
+    return first_wins_map(pairs)
+
+
+def pair_map(html: Column, pattern: str) -> Column:
+    """Label (group 1) and value (group 2) of every match; blank parts dropped, first label wins."""
     found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
     pairs = F.transform(found, lambda m: F.struct(
         F.lower(F.regexp_replace(strip_tags(F.regexp_extract(m, pattern, 1)), ":+$", "")).alias("label"),
@@ -105,9 +154,8 @@ def definition_map(html: Column, pattern: str = P.DEFINITION_PAIR_HTML) -> Colum
 def first_wins_map(pairs: Column) -> Column:
     """Array of (label, value) structs -> map that keeps the first of a label."""
     usable = F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != ""))
-    labels = F.array_distinct(F.transform(usable, lambda p: p["label"]))
-    return F.map_from_entries(F.transform(
-        labels, lambda key: F.struct(key, F.element_at(F.filter(usable, lambda p: p["label"] == key), 1)["value"])))
+    labels = F.transform(usable, lambda p: p["label"])
+    return F.map_from_entries(F.filter(usable, lambda p, i: F.array_position(labels, p["label"]) == i + 1))
 
 
 def map_first(m: Column, labels: Sequence[str]) -> Column:

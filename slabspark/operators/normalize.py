@@ -176,8 +176,7 @@ def cert_pages(pages: DataFrame, cert_id: str = "page_id", url: str = "url", htm
                scraped_at: Column | None = None) -> DataFrame:
     """Certificate HTML pages -> cert rows with an outcome."""
     h, base = F.col(html), F.col(url)
-    rows = pages.withColumns({"_meta": X.definition_map(h), "_grade": X.first_group(h, P.GRADE_HTML),
-                              "_title": X.strip_tags(X.first_group(h, P.TITLE_HTML))})
+    rows = pages.withColumns({"_meta": X.definition_map(h), "_grade": X.page_grade(h), "_title": X.page_title(h)})
     meta, grade = F.col("_meta"), as_double(F.col("_grade"))
     title = X.blank_to_null(F.col("_title"))
     return rows.select(
@@ -185,8 +184,8 @@ def cert_pages(pages: DataFrame, cert_id: str = "page_id", url: str = "url", htm
         F.coalesce(X.map_first(meta, P.SET_LABELS), F.lit("")).alias("set_name"),
         X.parse_year(X.map_first(meta, P.YEAR_LABELS)).alias("year"),
         X.map_first(meta, P.NUMBER_LABELS).alias("card_number"),
-        X.absolute_url(X.first_group(h, P.FRONT_HTML), base).alias("front_image_path"),
-        X.absolute_url(X.first_group(h, P.BACK_HTML), base).alias("back_image_path"),
+        X.absolute_url(X.page_image(h, "front"), base).alias("front_image_path"),
+        X.absolute_url(X.page_image(h, "back"), base).alias("back_image_path"),
         base.alias("source_url"),
         (F.date_format(F.current_timestamp(), _ISO) if scraped_at is None else scraped_at).alias("scraped_at"),
         F.when(grade.isNull() | ~grade.between(1.0, 10.0) | title.isNull(), F.lit("parse_errors"))

@@ -131,7 +131,7 @@ flat AS (SELECT page_id, i, lower(regexp_replace({_strip('l[i]')}, ':+$', '')) A
 SELECT page_id, label, arg_min(value, i) AS value FROM flat WHERE label <> '' AND value <> '' GROUP BY 1, 2""")
 def page_pairs(t: Tables) -> DataFrame:
     """Label/value pairs of a page as a map, first label wins."""
-    pairs = X.definition_map(F.col("html"), r'(?is)<a href="([^"]*)">(.*?)</a>')
+    pairs = X.pair_map(F.col("html"), r'(?is)<a href="([^"]*)">(.*?)</a>')
     return t.pages.select("page_id", F.explode(pairs).alias("label", "value"))
 
 

@@ -169,6 +169,16 @@ def test_cert_page(spark):
     assert (r[4].grade, r[4].card_name, r[4].set_name, r[4].year) == (8.0, "Plain", "", None)
 
 
+def test_cert_page_attributes_in_any_order_and_quotes(spark):
+    html = """<h1>Other</h1><H1 id='t' class='x card-title'>Real</H1><img data-src="no.jpg" src='/b.jpg' alt="" class='back'><img class="upfront" src="/u.jpg">
+    <img src="" class="front"><img src="/f.jpg" class="Front big"><span class="grade-num">PSA x</span><b class="big-Grade">psa 10</b><dl><dt>Set<dd>Alpha<dt>Card #</dt> <!-- --><dd><i>7</i></dd></dl>"""
+    r = N.cert_pages(spark.createDataFrame([(1, "https://h.com/a/b", html), (2, None, None), (3, "u", "")], "page_id long, url string, html string"))
+    r = {x.cert_id: x for x in r.collect()}
+    assert (r[1].grade, r[1].card_name, r[1].set_name, r[1].card_number) == (10.0, "Real", "Alpha", "7")
+    assert (r[1].front_image_path, r[1].back_image_path) == ("https://h.com/f.jpg", "https://h.com/b.jpg")
+    assert [r[i].outcome for i in (2, 3)] == ["parse_errors", "parse_errors"]
+
+
 @pytest.mark.parametrize("doc,want", [
     ([{"IsFrontImage": True, "ImageURL": "https://h/a.jpg"}, {"IsFrontImage": False, "ImageURL": "https://h/b.png"}], ("https://h/a.jpg", "https://h/b.png")),
     ([{"IsFrontImage": False, "ImageURL": "https://h/b.png"}], (None, "https://h/b.png")),
