@@ -19,6 +19,8 @@ MASKS = ("110100111", "1110010101")
 SPAN, MISSES = 13, 3
 #: A benchmark with up to this many seeds is broadcast (about 300 bytes each); a larger one is joined by shuffles.
 BROADCAST_SEEDS = 100_000
+#: Beside a large benchmark, documents travel in chunks of so many words, and only chunks with a hit.
+CHUNK = 64
 
 
 def tokens(text: Column) -> Column:
@@ -57,6 +59,25 @@ def _around(seq: Column, pos: Column, span: int, absent: int) -> Column:
     return F.transform(reach, lambda o: F.when(pos + o >= 0, F.coalesce(F.get(seq, pos + o), F.lit(absent))).otherwise(F.lit(absent)))
 
 
+def _contexts(texts: DataFrame, index: DataFrame, span: int, absent: int) -> DataFrame:
+    """(id, seed, doc) of every place whose seed is in ``index``; ``doc`` is what ``_around`` gives.
+
+    Seeds travel alone.  The words around a hit come from the chunk it lies in,
+    so a long text isn't repeated for each of its places.
+    """
+    texts = texts.filter(F.size("seq") > 0).withColumn("copy", F.xxhash64("seq"))
+    after = max(map(len, MASKS)) + span - 2
+    reach = span + after
+    places = texts.select("id", "copy", F.explode(seeds(F.col("seq"))).alias("s")).select("id", "copy", "s.seed", "s.pos")
+    hits = places.join(index.select("seed").distinct(), "seed", "left_semi").distinct().withColumn("chunk", F.floor(F.col("pos") / CHUNK).cast("int"))
+    fill = lambda n: F.array_repeat(F.lit(absent).cast("long"), n)
+    lines = texts.select("id", "copy", F.size("seq").alias("n"), F.concat(fill(span - 1), F.col("seq"), fill(CHUNK + after)).alias("line"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int")), lambda c: F.slice("line", c * CHUNK + 1, F.lit(CHUNK + reach - 1)))
+    chunks = lines.select(F.col("id").alias("of"), F.col("copy").alias("text"), F.posexplode(cut).alias("number", "words"))
+    met = hits.join(chunks, hits["id"].eqNullSafe(chunks["of"]) & (F.col("copy") == F.col("text")) & (F.col("chunk") == F.col("number")))
+    return met.select("id", "seed", F.slice("words", F.col("pos") % CHUNK + 1, F.lit(reach)).alias("doc"))
+
+
 def _most_equal(doc: Column, item: Column, width: Column) -> Column:
     """The most equal places of any window of ``width`` places."""
     line = F.array_join(F.zip_with(doc, item, lambda a, b: F.when(a == b, "1").otherwise("0")), "")
@@ -81,14 +102,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     index = materialize(index, "benchmark-seeds")
     texts = _sequence(docs, id_col, text_col)
     if index.count() <= broadcast_seeds:
-        index = F.broadcast(index)
-    else:  # keep only documents with a hit, before any context travels
-        narrow = texts.select("id", F.explode(seeds(F.col("seq"))).alias("s")).select("id", "s.seed")
-        hit = narrow.join(index.select("seed").distinct(), "seed", "left_semi").select(F.col("id").alias("hit")).distinct()
-        texts = texts.join(hit, F.col("id").eqNullSafe(F.col("hit")), "left_semi")
-    sought = texts.select("id", "seq", F.explode(seeds(F.col("seq"))).alias("s"))
-    hits = sought.select("id", "seq", F.col("s.seed").alias("seed"), F.col("s.pos").alias("pos")).join(index, "seed")
-    equal = _most_equal(_around(F.col("seq"), F.col("pos"), span, 2), F.col("item"), F.col("width"))
+        sought = texts.select("id", "seq", F.explode(seeds(F.col("seq"))).alias("s"))
+        hits = sought.select("id", "seq", F.col("s.seed").alias("seed"), F.col("s.pos").alias("pos")).join(F.broadcast(index), "seed")
+        hits = hits.select("id", "item_id", "width", "item", _around(F.col("seq"), F.col("pos"), span, 2).alias("doc"))
+    else:
+        hits = _contexts(texts, index, span, 2).join(index, "seed")
+    equal = _most_equal(F.col("doc"), F.col("item"), F.col("width"))
     found = hits.select(F.col("id").alias("doc_id"), "item_id", "width", equal.alias("equal_words"))
     found = found.filter(F.col("equal_words") >= F.col("width") - F.floor(F.col("width") * misses / span))
     return found.groupBy("doc_id", "item_id").agg(F.max("equal_words").alias("equal_words"))

@@ -199,6 +199,21 @@ def test_overlaps(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 3), (False, 4), (False, 5), (False, 8), (True, None)] and kept.columns == df.columns
 
 
+def test_overlaps_far_inside_long_texts(spark):
+    """Hits next to chunk borders, at both ends, in repeated rows and under a null id: both ways to join agree."""
+    passage = prose(50, 30, 5000)
+    want, rows = set(), []
+    for i, at in enumerate([0, 1, 11, 12, 50, 51, 52, 63, 64, 65, 127, 128, 400]):
+        filler = prose(100 + i, 400).split()
+        rows.append((i, " ".join(filler[:at] + [passage] + filler[at:])))
+        want.add(i)
+    rows += [(0, rows[0][1]), (None, rows[5][1]), (77, prose(5, 300)), (78, None), (79, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {tuple(r) for r in decontaminate.overlaps(df, bench(spark)).collect()}
+    far = {tuple(r) for r in decontaminate.overlaps(df, bench(spark), broadcast_seeds=0).collect()}
+    assert near == far and {r[0] for r in near} == want | {None}
+
+
 def test_overlaps_of_nothing(none, odd, spark):
     assert decontaminate.overlaps(none, bench(spark)).collect() == []
     assert decontaminate.overlaps(odd, bench(spark).limit(0)).collect() == []
