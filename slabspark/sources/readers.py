@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,15 +60,20 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("manufacturer").isNotNull() & F.col("variant_id").isNotNull())
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One bulk dump whose top level is a list of objects; other entries are skipped.
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, element_per_line: bool = False) -> DataFrame:
+    """Bulk dumps whose top level is a list of objects; other entries are skipped.
 
-    The file is one document and not splittable, so rewrite it once
-    (``reread``) before working on it at scale.
+    A file of unknown layout is one document in one task (2 GB at most).  Where
+    each element has a line of its own, with the brackets on theirs, say so:
+    such a file is split like any other text.
     """
-    entries = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", "array<string>")).alias("entry"))
-    objects = entries.where(F.col("entry").startswith("{"))
+    if element_per_line:
+        line = F.regexp_replace(strip(F.col("value")), r",$", "")
+        objects = spark.read.text(path, recursiveFileLookup=True).select(line.alias("entry")).where(F.col("entry").startswith("{"))
+    else:
+        whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        entries = whole.select(F.explode(F.from_json("value", "array<variant>")).alias("entry"))
+        objects = entries.where(F.schema_of_variant("entry").startswith("OBJECT")).select(F.to_json("entry").alias("entry"))
     return objects.select(F.from_json("entry", schema).alias("r")).select("r.*")
 
 
@@ -102,19 +107,29 @@ def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
     if "sample_id" not in header:
         raw = raw.withColumn("sample_id", F.lit(None).cast("string"))
     checked = check_labels(raw.select(*LABELS.fieldNames()))
-    bad = checked.where(F.col("problem").isNotNull()).take(1)
-    if bad:
-        line = _line_of(spark, path, bad[0])
-        raise ValueError(f"CSV {path} line {line}: {bad[0]['problem']}")
+    if not checked.where(F.col("problem").isNotNull()).isEmpty():
+        raise ValueError(f"CSV {path} {_first_problem(spark, path, schema)}")
     return checked.drop("problem")
 
 
-def _line_of(spark: SparkSession, path: str, row) -> str:
-    """Where a bad row sits; only looked up to word the error."""
-    needle = row["image_path"] or row["ground_truth"]
-    lines = spark.read.text(path, wholetext=False).withColumn("n", F.monotonically_increasing_id() + 1)
-    hit = lines.where(F.col("value").contains(needle)).where("n > 1").orderBy("n").select("n").take(1)
-    return str(hit[0]["n"]) if hit else "?"
+def _first_problem(spark: SparkSession, path: str, schema: T.StructType) -> str:
+    """Line and fault of the first bad row; only looked up to word the error.
+
+    Lines are counted within each block of a file, and blocks by their offset.
+    """
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(blocks.withColumn("before", before), ["file", "start"]).select(
+        "file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+    rows = numbered.where((F.col("line") > 1) & (strip(F.col("value")) != "")).select(
+        "file", "line", F.from_csv("value", schema.toDDL()).alias("r")).select("file", "line", "r.*")
+    if "sample_id" not in schema.fieldNames():
+        rows = rows.withColumn("sample_id", F.lit(None).cast("string"))
+    bad = check_labels(rows.select(*LABELS.fieldNames(), "file", "line")).where(F.col("problem").isNotNull())
+    found = bad.orderBy("file", "line").select("line", "problem").first()
+    return f"line {found['line']}: {found['problem']}" if found else "has a bad row"
 
 
 def authentic_labels(certs: DataFrame, max_records: int | None = None) -> DataFrame:

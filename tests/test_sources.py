@@ -38,6 +38,10 @@ def test_json_array(spark, tmp_path):
     p.write_text(json.dumps([{"id": "1", "name": "x"}, 5, "text", {"id": "2", "name": "y", "image_uris": {"large": "https://h/a"}}]))
     rows = R.read_json_array(spark, str(p), SC.MTG_PAYLOAD)
     assert sorted(r.id for r in rows.collect()) == ["1", "2"]
+    q = tmp_path / "by_line.json"
+    q.write_text('[\n{"id": "1", "name": "x"},\n5,\n"{\\"id\\": \\"9\\"}",\n{"id": "2", "name": "y"}\n]\n')
+    assert sorted(r.id for r in R.read_json_array(spark, str(q), SC.MTG_PAYLOAD, element_per_line=True).collect()) == ["1", "2"]
+    assert sorted(r.id for r in R.read_json_array(spark, str(q), SC.MTG_PAYLOAD).collect()) == ["1", "2"]
 
 
 def test_labels_csv(spark, tmp_path):
@@ -52,6 +56,16 @@ def test_labels_csv(spark, tmp_path):
         R.read_labels_csv(spark, _lines(tmp_path / "b.csv", "image_path,ground_truth", "a.png,authentic", "b.png,maybe"))
     with pytest.raises(ValueError, match="empty image_path"):
         R.read_labels_csv(spark, _lines(tmp_path / "e.csv", "image_path,ground_truth", " ,authentic"))
+    # far down a file of many partitions, with its path also in an earlier good row
+    many = [f"img{i}.png,authentic" for i in range(20000)]
+    many[14998], many[10] = "img7.png,maybe", "x-img7.png,authentic"
+    path = _lines(tmp_path / "long.csv", "image_path,ground_truth", *many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        with pytest.raises(ValueError, match="line 15000: ground_truth=maybe"):
+            R.read_labels_csv(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_authentic_labels(spark):
