@@ -144,6 +144,58 @@ def test_near_duplicates_keep_one(spark):
     assert sorted((r[0] is None, r[0]) for r in rows(kept.select("doc_id"))) == [*((False, i) for i in range(12)), (True, None)]
 
 
+def test_near_duplicates_are_those_of_exact_similarity(spark):
+    """Pairs at and around similarity 0.8, short texts, and a line repeated many times; the exact sets decide."""
+    docs, alike, apart = [], [], []
+
+    def pair(a, b):
+        sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b)]
+        similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        (alike if similarity >= 0.8 else apart).append(len(docs))
+        docs.extend([(len(docs) + k, t, "en", "s", 1) for k, t in enumerate((a, b))])
+        return similarity
+
+    near = []
+    for k in range(60):
+        for cut in (18, 20, 22):  # of 180 shingles
+            words = prose(1000 + k * 100 + cut, 184, 10**6).split()
+            near.append(pair(" ".join(words), " ".join(words[:-cut] + prose(20000 + k * 100 + cut, cut, 10**6).split())))
+        few = prose(3000 + k, 9, 10**6)
+        assert pair(few, few.rsplit(" ", 1)[0]) == 0.8
+    assert sorted({round(x, 2) for x in near}) == [0.78, 0.8, 0.82] and len(alike) == 180 and len(apart) == 60
+    line = prose(4000, 30, 10**6)
+    tail = prose(4001, 300, 10**6)
+    assert pair(line + " " + tail, " ".join([line] * 60) + " " + tail) > 0.95
+    got = simhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    component = {r["id"]: r["component"] for r in got}
+    assert len(got) == len(docs)
+    assert [a for a in alike if component[a + 1] != a] == [] and [a for a in apart if component[a + 1] == a] == []
+
+
+def test_similar_rows():
+    rng = np.random.default_rng(5)
+    centre = [rng.choice(1000, 40, replace=False) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.permutation(centre[rng.integers(4)])[: rng.integers(30, 41)], rng.integers(0, 1000, rng.integers(0, 8))])).astype(np.uint64) for _ in range(80)] + [np.empty(0, np.uint64)]
+    want = np.arange(len(sets))
+    near = np.array([[len(set(a.tolist()) & set(b.tolist())) >= 0.8 * max(1, len(set(a.tolist()) | set(b.tolist()))) for b in sets] for a in sets]) | np.eye(len(sets), dtype=bool)
+    for _ in sets:
+        want = np.array([want[near[i]].min() for i in range(len(sets))])
+    assert (simhash.similar_rows(sets, 0.8) == want).all() and len(set(want)) > 4
+
+
+def test_crowded_keys_lose_no_verified_link(spark):
+    from pyspark.sql import functions as F
+
+    base = prose(4100, 150, 10**6).split()
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 150, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = simhash.fingerprints(df, 5, 512, 10, 3, sets=True)
+    nodes = prints.withColumn("text", F.col("copy"))
+    docs = df.select(F.xxhash64("text").alias("copy"), "text")
+    for crowd, shingles in ((10_000, 10**7), (16, 10**7), (10_000, 2_000)):
+        assert graph.components(simhash.verified_links(nodes, docs, 135, 0.8, 5, crowd, shingles)).count() == len(texts) - 1
+
+
 # --- language
 
 
