@@ -29,7 +29,7 @@ COMMON_WORDS = 400_000
 END_WEIGHT, UNKNOWN_WEIGHT = 1e-3, 1e-4
 #: Spellings a worker remembers, twice this many at most.
 REMEMBERED = 350_000
-#: Least probability of a word, for words so long that theirs can't be held in a float.
+#: Where brute force puts a floor under a probability; scores have none.
 TINY = 1e-300
 #: No word is empty, so this stands for the end of a text.
 END = b""
@@ -56,8 +56,8 @@ class Lattice:
         self.pieces = {model.id_to_piece(i): float(w) for i, w in zip(ids, weight)}
         self.starts = {p[:i] for p in self.pieces for i in range(1, len(p))}
         self.byte = math.log(UNKNOWN_WEIGHT / 256)
-        self.young: dict[bytes, tuple[int, float]] = {}
-        self.old: dict[bytes, tuple[int, float]] = {}
+        self.young: dict[bytes, tuple[int, float, float]] = {}
+        self.old: dict[bytes, tuple[int, float, float]] = {}
 
     def marginal(self, word: str) -> float:
         """ln of the summed weights of all ways to spell ``word``; bytes stand in for characters that no piece covers."""
@@ -88,13 +88,17 @@ class Lattice:
                 if part not in starts:
                     break
 
-    def entry(self, word: bytes) -> tuple[int, float]:
-        """The hash of a word (or of the end of a text) and its probability under the spelling model."""
+    def entry(self, word: bytes) -> tuple[int, float, float]:
+        """The hash of a word (or of the end of a text), its probability under the spelling model and the log10 of that.
+
+        The probability of a long word is too small for a float and 0; its logarithm is not.
+        """
         found = self.young.get(word)
         if found is None:
             found = self.old.get(word)
             if found is None:
-                found = _hash(word), math.exp(self.marginal(word.decode("utf-8", "surrogatepass")) + math.log1p(-END_WEIGHT)) if word != END else END_WEIGHT
+                ln = self.marginal(word.decode("utf-8", "surrogatepass")) + math.log1p(-END_WEIGHT) if word != END else math.log(END_WEIGHT)
+                found = _hash(word), math.exp(ln), ln / math.log(10)
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
             self.young[word] = found
@@ -148,7 +152,8 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, path: str | None = No
 
     A word's probability is (c + k s) / (N + k): c and N count training
     tokens, s is its summed spelling weight, and k makes the share left to
-    unseen words that of the words seen once.  Null and empty texts are a lone
+    unseen words that of the words seen once.  Without a count it is added up
+    from logarithms, so that no word is too long for it.  Null and empty texts are a lone
     end.  Rows without an id are in no fold: they are scored, but not learned
     from.  Without any training row, s alone is used.
     """
@@ -175,12 +180,13 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, path: str | None = No
                     entries = [young.get(w) or lattice.entry(w) for w in count]
                     h = np.array([e[0] for e in entries], np.int64)
                     tf = np.fromiter(count.values(), np.int64, len(count))
-                    spelled = np.maximum(np.array([e[1] for e in entries]), TINY)
+                    spelled = np.array([e[1] for e in entries])
                     at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
                     hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
                     c = known[at[hit]] if len(hashes) else np.empty(0)
                     rest = ~hit
-                    row = (int(tf.sum()), int(tf[hit].sum()), float((tf[hit] * np.log10(c + 1)).sum()), float((tf[hit] * np.log10((c + k * spelled[hit]) / (n + k))).sum()), h[rest], tf[rest], spelled[rest])
+                    log_spelled = np.array([e[2] for e, other in zip(entries, rest.tolist()) if other], np.float64)
+                    row = (int(tf.sum()), int(tf[hit].sum()), float((tf[hit] * np.log10(c + 1)).sum()), float((tf[hit] * np.log10((c + k * spelled[hit]) / (n + k))).sum()), h[rest], tf[rest], log_spelled)
                     for column, value in zip(out, row):
                         column.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
@@ -193,9 +199,11 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, path: str | None = No
     rows = materialize(few.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "scored-texts")
     rare = rows.select("row", F.explode(F.arrays_zip("h", "tf", "spelled")).alias("w")).select("row", "w.h", "w.tf", "w.spelled")
     c = F.coalesce("c", F.lit(0))
+    # Beside a count a spelling too small for a float adds nothing to it.
+    seen = F.when(c > 0, F.log10(c + F.lit(k) * F.pow(F.lit(10.0), F.col("spelled")))).otherwise(F.col("spelled") + math.log10(k))
     rare = rare.join(counts, "h", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf"))).alias("known2"), F.sum(F.col("tf") * F.log10(c + 1.0)).alias("base2"),
-        F.sum(F.col("tf") * F.log10((c + F.lit(k) * F.col("spelled")) / (n + k))).alias("score2"))
+        F.sum(F.col("tf") * (seen - math.log10(n + k))).alias("score2"))
     out = rows.drop("h", "tf", "spelled").join(rare, "row", "left")
     zero = lambda name: F.coalesce(name, F.lit(0))
     base = F.col("base") + zero("base2") - F.col("n_tokens") * math.log10(n + v + 1)

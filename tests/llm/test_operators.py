@@ -453,6 +453,32 @@ def test_scores_against_brute_force(spark, odd):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
 
+def test_scores_of_words_too_long_for_a_float(spark):
+    """Uncovered characters, long words and texts without spaces, unseen and seen, with and without training rows."""
+    texts = ["x" * 30000, "x" * 15000, "𓀀" * 20, "𓀀" * 40, "𓀀" * 2000, "agvsbg8gd29ybgq" * 100, "the " + "𓀀" * 60]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][: len(texts)]
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    train = ["the same " * 20, "𓀀" * 40]
+    lattice = lm.Lattice(lm.vocabulary_path())
+    for extra in ([], list(zip(learned, train))):
+        for common in (1, 400_000):
+            df = spark.createDataFrame([*zip(ids, texts), *extra], "doc_id long, text string")
+            got = {r["doc_id"]: r["score"] for r in lm.scored(df, common_words=common).collect()}
+            count = Counter(w.encode() for _, t in extra for w in [*t.split(), ""])
+            n, once = sum(count.values()), max(1, sum(c == 1 for c in count.values()))
+            unseen = min(once / n, 0.5) if n else 1.0
+            k = n * unseen / (1 - unseen) if n else 1.0
+
+            def log10(word):
+                ln = lattice.marginal(word) + math.log1p(-lm.END_WEIGHT) if word else math.log(lm.END_WEIGHT)
+                c = count[word.encode()]
+                return (np.logaddexp(math.log(c), math.log(k) + ln) if c else math.log(k) + ln) / math.log(10) - math.log10(n + k)
+
+            for i, t in zip(ids, texts):
+                assert got[i] == pytest.approx(sum(log10(w) for w in [*t.split(), ""]))
+            assert got[ids[0]] < got[ids[1]] < -5000 and got[ids[4]] < got[ids[2]] < -450
+
+
 def test_lattice_adds_up_all_segmentations():
     lattice = lm.Lattice(lm.vocabulary_path())
 
