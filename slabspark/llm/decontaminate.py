@@ -8,15 +8,20 @@ place, but for a few substituted words.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slabspark.llm.common import materialize, table
 
-#: 1: the word counts, 0: it may differ.
-MASKS = ("110100111", "1110010101")
 #: An overlap is a stretch of SPAN places with at most MISSES different words (or the whole of a shorter item).
 SPAN, MISSES = 13, 3
+#: Masks by the width of an overlap (1: the word counts, 0: it may differ).  However the misses allowed in that width
+#: lie, one of its masks fits between them; found by enumeration.
+MASKS = {13: ("11101", "11011"), 12: ("11101",), 11: ("11101",), 10: ("11101", "1111"), 9: ("11101", "100111")}
+#: Items with fewer words are found only as whole texts.
+SHORTEST = 9
 #: A benchmark with up to this many seeds is broadcast (about 300 bytes each); a larger one is joined by shuffles.
 BROADCAST_SEEDS = 100_000
 #: Beside a large benchmark, documents travel in chunks of so many words, and only chunks with a hit.
@@ -29,23 +34,32 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: t != "")
 
 
-def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
+def masks_of(width: int, span: int = SPAN, misses: int = MISSES) -> tuple[str, ...]:
+    """Masks of which one at least fits into every overlap of ``width`` places, wherever its misses are."""
+    if (span, misses) == (SPAN, MISSES) and width in MASKS:
+        return MASKS[width]
+    # The equal words lie in one run more than there are misses; the longest run has this many.
+    allowed = width * misses // span
+    return ("1" * max(1, -(-(width - allowed) // (allowed + 1))),)
+
+
+def seeds(hashes: Column, masks: Iterable[str]) -> Column:
     """Array of (seed, pos) for every mask and every window that fits; pos counts from 0.
 
-    A sequence shorter than every mask gives one seed of the whole, so such an
-    item is only found in a document that equals it.
+    A sequence of fewer than SHORTEST words gives one seed of the whole, so such
+    an item is only found in a document that equals it.
     """
     n = F.size(hashes)
+    none = F.array().cast("array<struct<seed:bigint,pos:int>>")
 
-    def of(number: int, mask: str) -> Column:
+    def of(mask: str) -> Column:
         places = [i for i, c in enumerate(mask) if c == "1"]
         starts = F.sequence(F.lit(0), n - len(mask))
-        made = F.transform(starts, lambda p: F.struct(F.xxhash64(F.lit(number), *[F.get(hashes, p + i) for i in places]).alias("seed"), p.alias("pos")))
-        return F.when(n >= len(mask), made).otherwise(F.array().cast("array<struct<seed:bigint,pos:int>>"))
+        made = F.transform(starts, lambda p: F.struct(F.xxhash64(F.lit(int(mask, 2)), *[F.get(hashes, p + i) for i in places]).alias("seed"), p.alias("pos")))
+        return F.when(n >= len(mask), made).otherwise(none)
 
-    short = min(map(len, masks))
     whole = F.array(F.struct(F.xxhash64(F.lit(-1), F.array_join(hashes.cast("array<string>"), " ")).alias("seed"), F.lit(0).alias("pos")))
-    return F.when((n > 0) & (n < short), whole).otherwise(F.concat(*[of(i, m) for i, m in enumerate(masks)]))
+    return F.when((n > 0) & (n < SHORTEST), whole).otherwise(F.concat(none, *[of(m) for m in masks]))
 
 
 def _sequence(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,21 +68,21 @@ def _sequence(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _around(seq: Column, pos: Column, span: int, absent: int) -> Column:
-    """The words at the places that a window of ``span`` words touching the hit can cover; ``absent`` beyond the ends."""
-    reach = F.sequence(F.lit(1 - span), F.lit(max(map(len, MASKS)) + span - 2))
+    """The words at the places that a window of ``span`` words over the hit's first word can cover; ``absent`` beyond the ends."""
+    reach = F.sequence(F.lit(1 - span), F.lit(span - 1))
     return F.transform(reach, lambda o: F.when(pos + o >= 0, F.coalesce(F.get(seq, pos + o), F.lit(absent))).otherwise(F.lit(absent)))
 
 
-def _contexts(texts: DataFrame, index: DataFrame, span: int, absent: int) -> DataFrame:
+def _contexts(texts: DataFrame, index: DataFrame, masks: list[str], span: int, absent: int) -> DataFrame:
     """(id, seed, doc) of every place whose seed is in ``index``; ``doc`` is what ``_around`` gives.
 
     Seeds travel alone.  The words around a hit come from the chunk it lies in,
     so a long text isn't repeated for each of its places.
     """
     texts = texts.filter(F.size("seq") > 0).withColumn("copy", F.xxhash64("seq"))
-    after = max(map(len, MASKS)) + span - 2
+    after = span - 1
     reach = span + after
-    places = texts.select("id", "copy", F.explode(seeds(F.col("seq"))).alias("s")).select("id", "copy", "s.seed", "s.pos")
+    places = texts.select("id", "copy", F.explode(seeds(F.col("seq"), masks)).alias("s")).select("id", "copy", "s.seed", "s.pos")
     hits = places.join(index.select("seed").distinct(), "seed", "left_semi").distinct().withColumn("chunk", F.floor(F.col("pos") / CHUNK).cast("int"))
     fill = lambda n: F.array_repeat(F.lit(absent).cast("long"), n)
     lines = texts.select("id", "copy", F.size("seq").alias("n"), F.concat(fill(span - 1), F.col("seq"), fill(CHUNK + after)).alias("line"))
@@ -94,19 +108,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     repeat an id are judged together; null ids are one such id.
     """
     items = _sequence(benchmark, item_col, item_text_col)
-    places = items.select("id", "seq", F.explode(seeds(F.col("seq"))).alias("s"))
+    width = F.least(F.lit(span), F.size("seq"))
+    widths = sorted(r["w"] for r in items.select(width.alias("w")).filter("w > 0").distinct().collect())  # ``span`` at most
+    masks = {w: masks_of(w, span, misses) for w in widths}
+    own = F.coalesce(*[F.when(width == w, seeds(F.col("seq"), m)) for w, m in masks.items()], F.array().cast("array<struct<seed:bigint,pos:int>>"))
+    # Documents are sought with the masks of the widths that occur.
+    sought_masks = sorted({m for ms in masks.values() for m in ms})
+    places = items.select("id", "seq", F.explode(own).alias("s"))
     index = places.select(
         F.col("s.seed").alias("seed"), F.col("id").alias("item_id"),
-        F.least(F.lit(span), F.size("seq")).alias("width"), _around(F.col("seq"), F.col("s.pos"), span, 1).alias("item"),
+        width.alias("width"), _around(F.col("seq"), F.col("s.pos"), span, 1).alias("item"),
     ).distinct()
     index = materialize(index, "benchmark-seeds")
     texts = _sequence(docs, id_col, text_col)
     if index.count() <= broadcast_seeds:
-        sought = texts.select("id", "seq", F.explode(seeds(F.col("seq"))).alias("s"))
+        sought = texts.select("id", "seq", F.explode(seeds(F.col("seq"), sought_masks)).alias("s"))
         hits = sought.select("id", "seq", F.col("s.seed").alias("seed"), F.col("s.pos").alias("pos")).join(F.broadcast(index), "seed")
         hits = hits.select("id", "item_id", "width", "item", _around(F.col("seq"), F.col("pos"), span, 2).alias("doc"))
     else:
-        hits = _contexts(texts, index, span, 2).join(index, "seed")
+        hits = _contexts(texts, index, sought_masks, span, 2).join(index, "seed")
     equal = _most_equal(F.col("doc"), F.col("item"), F.col("width"))
     found = hits.select(F.col("id").alias("doc_id"), "item_id", "width", equal.alias("equal_words"))
     found = found.filter(F.col("equal_words") >= F.col("width") - F.floor(F.col("width") * misses / span))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -266,6 +267,60 @@ def test_overlaps_far_inside_long_texts(spark):
     assert near == far and {r[0] for r in near} == want | {None}
 
 
+def most_equal(doc, item):
+    """Equal words of the best window, by brute force over all alignments; None if too few."""
+    width = min(13, len(item))
+    best = 0
+    for shift in range(1 - len(doc), len(item)):
+        equal = [0 <= i - shift < len(doc) and doc[i - shift] == item[i] for i in range(len(item))]
+        best = max([best, *(sum(equal[a : a + width]) for a in range(len(item) - width + 1))])
+    return best if best and best >= width - width * 3 // 13 else None
+
+
+def substituted(width, most, rng):
+    """An item of ``width`` words, and documents that hold it with every choice of up to ``most`` words substituted."""
+    item = [f"i{width}x{k}" for k in range(width)]
+    docs = []
+    for n in range(most + 1):
+        for gone in itertools.combinations(range(width), n):
+            left, right = ([f"f{rng.randrange(10**9)}" for _ in range(rng.randrange(20))] for _ in range(2))
+            docs.append(left + [f"s{rng.randrange(10**9)}" if k in gone else w for k, w in enumerate(item)] + right)
+    return item, docs
+
+
+def overlaps_by_brute_force(spark, items, docs):
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(d, i, n) for d, doc in enumerate(docs) for i, item in enumerate(items) if (n := most_equal(doc, item))}
+    for broadcast in (100_000, 0):
+        assert {tuple(r) for r in decontaminate.overlaps(df, bench, broadcast_seeds=broadcast).collect()} == want
+    return want
+
+
+def test_overlaps_find_every_pattern_of_substitutions(spark):
+    rng = random.Random(13)
+    items, docs, want = [], [], 0
+    for width in range(9, 14):
+        item, own = substituted(width, width * 3 // 13 + 1, rng)
+        items.append(item)
+        docs += own
+        want += sum(math.comb(width, n) for n in range(width * 3 // 13 + 1))
+    long = [f"l{k}" for k in range(60)]
+    items.append(long)
+    for period in (3, 4, 5):
+        docs += [[f"p{period}x{k}" if k % period == r else w for k, w in enumerate(long)] for r in range(period)]
+    docs += [long[:10], long[50:], long[:9], ["a", *long[20:30], "b"]]
+    assert len(overlaps_by_brute_force(spark, items, docs)) == want + 4 + 5 + 3
+
+
+@pytest.mark.parametrize("span,misses", [(13, 3), (13, 0), (8, 2), (20, 5)])
+def test_masks_fit_into_every_pattern(span, misses):
+    for width in range(1, span + 1):
+        masks = decontaminate.masks_of(width, span, misses)
+        for gone in itertools.combinations(range(width), width * misses // span):
+            assert any(all(m[k] == "0" or a + k not in gone for k in range(len(m))) for m in masks for a in range(width - len(m) + 1)), (width, gone)
+
+
 def test_overlaps_of_nothing(none, odd, spark):
     assert decontaminate.overlaps(none, bench(spark)).collect() == []
     assert decontaminate.overlaps(odd, bench(spark).limit(0)).collect() == []
