@@ -19,9 +19,7 @@ from slabspark.llm.common import materialize, table
 SPAN, MISSES = 13, 3
 #: Masks by the width of an overlap (1: the word counts, 0: it may differ).  However the misses allowed in that width
 #: lie, one of its masks fits between them; found by enumeration.
-MASKS = {13: ("11101", "11011"), 12: ("11101",), 11: ("11101",), 10: ("11101", "1111"), 9: ("11101", "100111")}
-#: Items with fewer words are found only as whole texts.
-SHORTEST = 9
+MASKS = {13: ("11101", "11011"), 12: ("11101",), 11: ("11101",), 10: ("11101", "1111"), 9: ("11101", "100111"), 8: ("11101",), 7: ("11011",), 6: ("1111", "11011"), 5: ("111", "1101"), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",)}
 #: A benchmark with up to this many seeds is broadcast (about 300 bytes each); a larger one is joined by shuffles.
 BROADCAST_SEEDS = 100_000
 #: Beside a large benchmark, documents travel in chunks of so many words, and only chunks with a hit.
@@ -44,11 +42,7 @@ def masks_of(width: int, span: int = SPAN, misses: int = MISSES) -> tuple[str, .
 
 
 def seeds(hashes: Column, masks: Iterable[str]) -> Column:
-    """Array of (seed, pos) for every mask and every window that fits; pos counts from 0.
-
-    A sequence of fewer than SHORTEST words gives one seed of the whole, so such
-    an item is only found in a document that equals it.
-    """
+    """Array of (seed, pos) for every mask and every window that fits; pos counts from 0."""
     n = F.size(hashes)
     none = F.array().cast("array<struct<seed:bigint,pos:int>>")
 
@@ -58,8 +52,7 @@ def seeds(hashes: Column, masks: Iterable[str]) -> Column:
         made = F.transform(starts, lambda p: F.struct(F.xxhash64(F.lit(int(mask, 2)), *[F.get(hashes, p + i) for i in places]).alias("seed"), p.alias("pos")))
         return F.when(n >= len(mask), made).otherwise(none)
 
-    whole = F.array(F.struct(F.xxhash64(F.lit(-1), F.array_join(hashes.cast("array<string>"), " ")).alias("seed"), F.lit(0).alias("pos")))
-    return F.when((n > 0) & (n < SHORTEST), whole).otherwise(F.concat(none, *[of(m) for m in masks]))
+    return F.concat(none, *[of(m) for m in masks])
 
 
 def _sequence(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,7 +97,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     ``equal_words`` is the number of equal places in the best window of
     ``span`` words; an item with fewer words is compared whole, with misses in
-    proportion.  Null, empty and wordless texts overlap nothing.  Rows that
+    proportion (none below five words), wherever it stands in a document.  Null, empty and wordless texts overlap nothing.  Rows that
     repeat an id are judged together; null ids are one such id.
     """
     items = _sequence(benchmark, item_col, item_text_col)

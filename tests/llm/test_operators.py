@@ -313,6 +313,17 @@ def test_overlaps_find_every_pattern_of_substitutions(spark):
     assert len(overlaps_by_brute_force(spark, items, docs)) == want + 4 + 5 + 3
 
 
+def test_short_items_inside_longer_documents(spark):
+    rng = random.Random(14)
+    items, docs, want = [], [], 0
+    for width in range(1, 9):
+        item, own = substituted(width, width * 3 // 13 + 1, rng)
+        items.append(item)
+        docs += own + [item]
+        want += sum(math.comb(width, n) for n in range(width * 3 // 13 + 1)) + 1
+    assert len(overlaps_by_brute_force(spark, items, docs)) == want
+
+
 @pytest.mark.parametrize("span,misses", [(13, 3), (13, 0), (8, 2), (20, 5)])
 def test_masks_fit_into_every_pattern(span, misses):
     for width in range(1, span + 1):
