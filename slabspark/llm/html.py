@@ -31,6 +31,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 #: Elements that may hold the main text; their paths are voted on.
 CONTAINERS = frozenset("article body div html main section table tbody td tr center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Shorter lines beside the main text are boilerplate if they stand in a container of their own or in the body itself.
+PROSE = 25
 #: A start tag of the key ends an open element of the value's kinds, up to the next container.
 CLOSES = {**{t: ("p",) for t in BLOCKS - {"br"}}, "li": ("p", "li"), "dd": ("p", "dd", "dt"), "dt": ("p", "dd", "dt"), "tr": ("p", "tr", "td", "th"), "td": ("p", "td", "th"), "th": ("p", "td", "th")}
 _SPACE = re.compile(r"\s+")
@@ -57,6 +60,7 @@ class _Page(HTMLParser):
         self.paths: list[str] = [""]  # of containers by number; 0 stands above all
         self.above: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
+        self.headings: set[int] = set()  # numbers of blocks that are headings
         self.open: list[str] = []
         self.linked = 0
 
@@ -68,6 +72,8 @@ class _Page(HTMLParser):
             return
         text = _SPACE.sub(" ", "".join(self.open)).strip()
         if text:
+            if any(t in HEADINGS for t, _, _ in self.stack[-4:]):
+                self.headings.add(len(self.blocks))
             self.blocks.append((self.container(), text, self.linked))
         self.open, self.linked = [], 0
 
@@ -132,22 +138,51 @@ def read(html: str | None) -> _Page:
     return page
 
 
+def _tag(page: _Page, at: int) -> str:
+    return page.paths[at].rpartition("/")[2].split(".")[0]
+
+
+def _text_beside(page: _Page, at: int, best: int, size: list[int]) -> bool:
+    """Whether headings or prose of the container ``at`` stand outside its child ``best``; links and short lines are neither."""
+    named = _tag(page, best) in ("article", "main")
+    whole = _tag(page, at) in ("", "html", "body")
+    for i, (c, text, linked) in enumerate(page.blocks):
+        if not at <= c < at + size[at] or best <= c < best + size[best] or 2 * linked >= len(text):
+            continue
+        if c != at and named:
+            continue  # an article is told from its neighbours by the page itself
+        if i in page.headings or len(text) >= PROSE or c == at and not whole:
+            return True
+    return False
+
+
 def best_container(page: _Page) -> tuple[int, float]:
-    """The innermost container that holds nearly all prose, and how much that is: characters outside links, long blocks first."""
+    """The innermost container that holds nearly all prose, and how much that is: characters outside links, long blocks first.
+
+    The way down ends at an article, and where a heading or prose would be left
+    outside.
+    """
     own = [0.0] * len(page.paths)
+    held = [0] * len(page.paths)
+    size = [1] * len(page.paths)
     for at, text, linked in page.blocks:
         own[at] += max(0, len(text) - 2 * linked)
+        held[at] += 1
     total = own[:]
+    # Containers are numbered as they open, so what is inside one follows it.
     for i in range(len(own) - 1, 0, -1):
         total[page.above[i]] += total[i]
+        held[page.above[i]] += held[i]
+        size[page.above[i]] += size[i]
     at = 0
-    while True:
+    while _tag(page, at) not in ("article", "main"):
         inner = [i for i in range(at + 1, len(own)) if page.above[i] == at and total[i] > 0]
         best = max(inner, key=lambda i: (total[i], -i), default=0)
-        named = page.paths[best].rpartition("/")[2].split(".")[0] in ("article", "main") if best else False
-        if not best or total[best] < (0.5 if named else 0.8) * total[at]:
-            return at, total[at]
+        named = _tag(page, best) in ("article", "main")
+        if not best or total[best] < (0.5 if named else 0.8) * total[at] or held[best] < held[at] and _text_beside(page, at, best, size):
+            break
         at = best
+    return at, total[at]
 
 
 def text_of(page: _Page, path: str | None) -> str:

@@ -495,6 +495,22 @@ def test_hosts_agree_on_a_path(spark):
     assert got[9] == "short"
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><h1>Title</h1><p>intro</p><section>{long}</section><p>end</p></article>", "Title\nintro\n{long}\nend"),
+    ("<main><div><h1>Title</h1></div><div class=body><p>intro</p><div>{long}</div></div></main>", "Title\nintro\n{long}"),
+    ("<div class=post><h2>Title</h2><div class=text>{long}</div></div><div class=x>x</div>", "Title\n{long}"),
+    ("<div class=post><p>By me</p><div class=text>{long}</div></div>", "By me\n{long}"),
+    ("<div class=post><div class=lead><p>A leading paragraph of a sentence.</p></div><div class=text>{long}</div></div>", "A leading paragraph of a sentence.\n{long}"),
+    ("<div class=a><a href=/>Home of many pages and more</a></div><div class=text>{long}</div><p>Imprint</p>", "{long}"),
+    ("<div class=a><p>Prose of a neighbour, outside of the article.</p></div><article>{long}</article>", "{long}"),
+])
+def test_text_beside_a_section_stays(spark, page, want):
+    long = ("prose and more prose, " * 40).strip()
+    pages = [(i, f"http://a.net/{i}", f"<html><body>{page.format(long=long)}</body></html>") for i in range(3)]
+    got = html.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in got] == [want.format(long=long)] * 3
+
+
 # --- language model
 
 
