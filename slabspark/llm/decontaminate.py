@@ -126,10 +126,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return found.groupBy("doc_id", "item_id").agg(F.max("equal_words").alias("equal_words"))
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that overlap a benchmark item; columns unchanged, rows without an id stay."""
-    found = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leak")).filter("__leak is not null").distinct()
-    return docs.join(materialize(found, "leaks"), docs[id_col] == F.col("__leak"), "left_anti")
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
+    """``docs`` without those that overlap a benchmark item; columns unchanged.
+
+    Rows without an id stay, or with ``unnamed`` are judged each by its text.
+    """
+    name = F.col(id_col).cast("string")
+    if unnamed:
+        name = F.when(name.isNull(), F.concat(F.lit("text "), F.xxhash64(text_col).cast("string"))).otherwise(F.concat(F.lit("id "), name))
+    named = docs.select(name.alias("name"), F.col(text_col).alias("text"))
+    found = overlaps(named, benchmark, "name").select(F.col("doc_id").alias("__leak")).filter("__leak is not null").distinct()
+    return docs.join(materialize(found, "leaks"), name == F.col("__leak"), "left_anti")
 
 
 def op3_decontamination(spark, sf_dir) -> DataFrame:

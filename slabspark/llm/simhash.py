@@ -353,16 +353,16 @@ def verified_links(nodes: DataFrame, docs: DataFrame, radius: int, similarity: f
 
 
 def _classes(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, copy, fp, component) of every row (id, copy, fp, node), nodes (node, least) being tied by edges (u, v)."""
+    """(id, copy, fp, component, root) of every row (id, copy, fp, node), nodes (node, least) being tied by edges (u, v); ``root`` names the class."""
     stars = components(edges)
     rooted = nodes.select("node", "least").join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    member = rooted.join(least, "root").select("node", "component")
-    return prints.select("id", "copy", "fp", "node").join(member, "node").select("id", "copy", "fp", "component")
+    member = rooted.join(least, "root").select("node", "component", "root")
+    return prints.select("id", "copy", "fp", "node").join(member, "node").select("id", "copy", "fp", "component", "root")
 
 
 def classes(prints: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
-    """(id, copy, fp, component) of every row of a written table (id, copy, fp, keys); equal fingerprints are always tied.
+    """(id, copy, fp, component, root) of every row of a written table (id, copy, fp, keys); equal fingerprints are always tied.
 
     ``component`` is the smallest id of the class; null ids don't count, and a
     class that has none gets a null component.
@@ -373,7 +373,7 @@ def classes(prints: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
 
 
 def simhash_classes(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, copy, fp, component) of every row by 64-bit fingerprints that differ in at most ``radius`` bits; misses no link."""
+    """(id, copy, fp, component, root) of every row by 64-bit fingerprints that differ in at most ``radius`` bits; misses no link."""
     prints = fingerprints(docs, size, 64, 0, id_col=id_col, text_col=text_col)
     return classes(materialize(prints.select("id", "copy", "fp", band_keys(F.col("fp"), radius).alias("keys")), "simhash"), radius)
 
@@ -385,7 +385,7 @@ def radius_for(similarity: float, bits: int, spread: float = SPREAD) -> int:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bits: int = 512, bands: int = 10, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, copy, fp, component) of every row by wide fingerprints of ``size``-word shingles.
+    """(id, copy, fp, component, root) of every row by wide fingerprints of ``size``-word shingles.
 
     Two rows are tied if the Jaccard similarity of their shingle sets is
     ``similarity`` or more.  The pairs looked at are those that share one of
@@ -402,19 +402,25 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bit
     return _classes(prints, nodes, edges)
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """``docs`` with one row of each class of near duplicates: the one of the smallest id; columns unchanged.
 
     Rows that repeat an id and its text count as one document, of which one row
-    stays.  Rows without an id can't be named and stay.
+    stays.  Rows without an id stay, or with ``unnamed`` go too: all of them in a
+    class that has an id, else all but those of the text of the smallest hash.
     """
     found = materialize(near_duplicates(docs, similarity, id_col=id_col, text_col=text_col), "near-duplicates")
     rows = found.filter("id is not null").groupBy("id", "copy").agg(F.max(F.expr("id <> component")).alias("drop"), F.count("*").alias("n"))
+    if unnamed:
+        without = found.filter("id is null").groupBy("id", "copy", "root").agg(F.max("component").alias("component"), F.count("*").alias("n"))
+        first = without.groupBy("root").agg(F.min("copy").alias("first"))
+        without = without.join(first, "root").select("id", "copy", F.expr("component is not null or copy <> first").alias("drop"), "n")
+        rows = rows.unionByName(without)
     rows = materialize(rows.filter("drop or n > 1").select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), "drop"), "dropped-rows")
     dropped, again = rows.drop("drop"), rows.filter("not drop").drop("drop")
     if rows.count() <= BROADCAST_ROWS:
         dropped, again = F.broadcast(dropped), F.broadcast(again)
-    same = lambda left: (left[id_col].cast("long") == F.col("__id")) & (F.xxhash64(left[text_col]) == F.col("__copy"))
+    same = lambda left: left[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(left[text_col]) == F.col("__copy"))
     kept = docs.join(dropped, same(docs), "left_anti")
     if again.isEmpty():
         return kept

@@ -659,3 +659,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(text) == {*range(20), 104}
     assert text[104].endswith("[SECRET]") and all(text[i] == t for i, t, *_ in clean)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(text)
+
+
+def test_stages_judge_rows_without_an_id(spark, tmp_path):
+    """Copies and leaks among rows without an id go as others do; the stages name them by their text."""
+    import corpus_pipeline
+
+    text = [prose(7000 + k, 120, 5000) for k in range(4)]
+    near = text[1].rsplit(" ", 2)[0]
+    docs = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[1]), (None, near), (None, text[2]), (None, prose(50, 30, 5000)), (2, prose(50, 30, 5000)), (3, text[3])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], DOCS)
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.without_benchmark(spark, df, str(tmp_path))
+    assert clean.columns == df.columns and sorted(r["text"] for r in clean.collect()) == sorted(t for _, t in docs if t not in (docs[6][1],))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.distinct_texts(spark, df, str(tmp_path)).collect()]
+    one = [k for k in kept if k[1] in (text[1], near)]
+    assert len(one) == 1 and sorted(k for k in kept if k not in one and k[0]) == sorted(k for k in docs if k[0]) and [k for k in kept if k not in one and not k[0]] == [(None, text[2])]
