@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from slabspark.llm.bpe import op10_bpe
+from slabspark.llm.clusters import OP13_SQL, op13_centroids
 from slabspark.llm.decontaminate import op3_decontamination
 from slabspark.llm.html import op7_main_text
 from slabspark.llm.langid import op2_language
@@ -13,5 +14,5 @@ from slabspark.llm.simhash import op1_simhash
 from slabspark.llm.substrings import op6_substring_dedup
 from slabspark.llm.urls import OP4_SQL, op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_decontamination, op4_url_filter, op5_secrets, op6_substring_dedup, op7_main_text, op8_lm_score, op9_neighbours, op10_bpe)}
-ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_decontamination, op4_url_filter, op5_secrets, op6_substring_dedup, op7_main_text, op8_lm_score, op9_neighbours, op10_bpe, op13_centroids)}
+ORACLE: dict[str, str] = {"op4_url_filter": OP4_SQL, "op13_centroids": OP13_SQL}
