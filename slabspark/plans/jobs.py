@@ -55,14 +55,14 @@ def embed_new_references(store: TableStore, references: DataFrame, encode, dim:
 
 
 def accumulate_exemplars(store: TableStore, cert_rows: DataFrame, catalog_rows: DataFrame, dim: int,
-                         added_at: str | None = None) -> DataFrame:
+                         added_at: str | None = None, epoch: tuple[str, int] | None = None) -> DataFrame:
     """Identify unseen certs and append their vectors; returns outcome counts.
 
     ``cert_rows``: cert_id, front_image_path, phash, embedding;
     ``catalog_rows``: variant_id, manufacturer, phash, embedding.
     Exemplars are appended before the log, and certs already present among
     the exemplars count as consumed, so a crash in between loses nothing and
-    repeats nothing.
+    repeats nothing.  ``epoch`` (stream, number) is committed with the rows.
     """
     stored = store.read("exemplars", STORED_EXEMPLARS)
     log = store.read("consumed_log", S.CONSUMED_LOG)
@@ -75,17 +75,19 @@ def accumulate_exemplars(store: TableStore, cert_rows: DataFrame, catalog_rows:
     new = labelled.where("outcome = 'appended'")
     if not new.isEmpty():
         numbered = exemplars.append_exemplars(stored, new, "cert_id", keep=["cert_id"])
-        store.append("exemplars", numbered.select(*STORED_EXEMPLARS.fieldNames()), partition_by=["manufacturer"])
+        store.append("exemplars", numbered.select(*STORED_EXEMPLARS.fieldNames()), partition_by=["manufacturer"], epoch=epoch)
         stamp = F.lit(added_at) if added_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         store.append("consumed_log", new.select("cert_id", "manufacturer", F.col("variant_id").cast("string")
-                                                .alias("variant_id"), stamp.alias("added_at")))
+                                                .alias("variant_id"), stamp.alias("added_at")), epoch=epoch)
     return outcome_counts(labelled)
 
 
 def authenticate(store: TableStore, measurements: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """Measurements -> one upserted authenticity row per submission."""
-    rows = authenticity.authenticity_rows(measurements)
-    return store.upsert("authenticity_results", rows, ["submission_id"], schema or rows.schema)
+    rows = materialize(authenticity.authenticity_rows(measurements), "authenticity")
+    schema = schema or rows.schema
+    store.upsert_buckets("authenticity_results", rows, ["submission_id"], schema)
+    return store.read("authenticity_results", schema)
 
 
 def measure_embeddings(submissions: DataFrame, references: DataFrame, sub_id: str, ref_id: str, group: str, vec: str,
@@ -106,15 +108,23 @@ def measure_embeddings(submissions: DataFrame, references: DataFrame, sub_id: st
 
 
 def grade(store: TableStore, centering_faces: DataFrame, edge_sides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(regions of all graded submissions, edge measurements without a grade row)."""
-    current = store.read("grades", S.GRADES)
-    with_centering = grading.upsert_centering(current, grading.centering_from_ratios(centering_faces))
-    store.replace("grades", with_centering)
-    faces = grading.edge_face(edge_sides, ["submission_id", "face"])
-    updated, orphans = grading.upsert_edges(store.read("grades", S.GRADES), grading.worse_face(faces))
-    orphans = materialize(orphans, "edge-orphans")
-    store.replace("grades", updated)
-    return grading.regions(store.read("grades", S.GRADES)), orphans
+    """(regions of all graded submissions, edge measurements without a grade row).
+
+    Both parts are merged at once, and only into the buckets of submissions
+    that were measured.
+    """
+    centred = materialize(grading.centering_from_ratios(centering_faces), "centering")
+    edged = materialize(grading.worse_face(grading.edge_face(edge_sides, ["submission_id", "face"])), "edges")
+    left: list[DataFrame] = []
+
+    def merge(current: DataFrame) -> DataFrame:
+        updated, orphans = grading.upsert_edges(grading.upsert_centering(current, centred), edged)
+        left.append(materialize(orphans, "edge-orphans"))
+        return updated
+
+    touched = centred.select("submission_id").unionByName(edged.select("submission_id"))
+    store.rewrite("grades", touched, ["submission_id"], S.GRADES, merge)
+    return grading.regions(store.read("grades", S.GRADES)), left[0]
 
 
 def certificate_table(submissions: DataFrame, grades: DataFrame, auth: DataFrame, variants: DataFrame,

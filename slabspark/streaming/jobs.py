@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slabspark import params as P
+from slabspark.session import materialize
+from slabspark.sources.ledger import KeyLedger
 from slabspark.sources.store import TableStore
 
 STALE_OUTPUT = "submission_id STRING, status STRING, rejection_reason STRING, updated_at TIMESTAMP, " \
@@ -116,15 +118,21 @@ def daily_budget_windows(calls: DataFrame, source: str, ts: str, cost: Column, c
 # --------------------------------------------------- micro-batch writers
 
 
+def stream_of(batch: DataFrame) -> str:
+    """The id of the stream a micro-batch belongs to; it lives in the checkpoint and outlasts restarts."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
+
 def upsert_batches(store: TableStore, table: str, keys: list[str], schema: T.StructType,
                    partition_by: list[str], order: list[Column]) -> Callable:
-    """foreachBatch body that keeps the last row per key in ``order`` (replays are harmless).
+    """foreachBatch body that keeps the last row per key in ``order``.
 
-    Only the partitions a batch touches are rewritten.
+    Only the partitions a batch touches are rewritten.  The batch's number is
+    committed with its rows, so that a batch counts once however often it runs.
     """
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        store.upsert_partitions(table, batch.select(*schema.fieldNames()), keys, schema, partition_by, order)
+    def write(batch: DataFrame, epoch: int) -> None:
+        store.upsert_partitions(table, batch.select(*schema.fieldNames()), keys, schema, partition_by, order, (stream_of(batch), epoch))
 
     return write
 
@@ -132,15 +140,25 @@ def upsert_batches(store: TableStore, table: str, keys: list[str], schema: T.Str
 def ingest_new(store: TableStore, table: str, keys: list[str], schema: T.StructType) -> Callable:
     """foreachBatch body that appends only keys the table does not hold yet.
 
-    The anti-join makes a replayed batch a no-op; duplicates inside one batch
-    collapse to one row per key first.
+    A ledger of the keys says which are new, so the table itself isn't read.
+    Rows are committed with the number of their batch, then the ledger follows;
+    if the writer is lost in between, the ledger catches up first.  Duplicates
+    inside one batch collapse to one row per key.
     """
+    ledger = KeyLedger(store, table, keys, schema)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
+        epoch = (stream_of(batch), number)
+        ledger.repair()
+        if store.committed(table, epoch[0]) >= number:
+            return
         rest = [c for c in schema.fieldNames() if c not in keys]
-        one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
-        fresh = one.join(store.read(table, schema).select(*keys), keys, "left_anti")
-        store.append(table, fresh.select(*schema.fieldNames()))
+        one = batch.groupBy(*keys).agg(F.min(F.struct(*rest, F.lit(0))).alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in rest])
+        one = materialize(one, "batch")
+        fresh = materialize(ledger.unseen(one), "fresh-keys")
+        rows = one.join(fresh, [one[k].eqNullSafe(fresh[k]) for k in keys], "left_semi")
+        store.append(table, rows.select(*schema.fieldNames()), epoch=epoch)
+        ledger.add(fresh, epoch)
 
     return write
 
@@ -149,11 +167,12 @@ def accumulate_batches(store: TableStore, catalog: DataFrame, dim: int, now: str
     """foreachBatch body for continuous exemplar accumulation.
 
     The exemplar rows carry the cert they came from, so the consumed log is
-    rebuilt from them when a batch is replayed half-written.
+    rebuilt from them when a batch is replayed half-written.  Both tables
+    commit the batch's number with its rows.
     """
     from slabspark.plans.jobs import accumulate_exemplars
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        accumulate_exemplars(store, batch, catalog, dim, added_at=now)
+    def write(batch: DataFrame, epoch: int) -> None:
+        accumulate_exemplars(store, batch, catalog, dim, added_at=now, epoch=(stream_of(batch), epoch))
 
     return write
