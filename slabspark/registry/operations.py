@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +173,41 @@ def incremental_ingest(t: Tables) -> DataFrame:
     return store.read("seen", rows.schema)
 
 
+@query("ledger_ingest", sql="""SELECT user_id, count(*) AS n, 1 AS copies FROM events GROUP BY 1""")
+def ledger_ingest(t: Tables) -> DataFrame:
+    """Streaming: four micro-batches into a keyed table, then all of them once more under another checkpoint; each key stays single."""
+    from slabspark.streaming import jobs as J
+
+    root = _scratch(t, "ledger")
+    rows = t.events.select("user_id", "event_id")
+    rows.repartition(4, "event_id").write.parquet(f"{root}/source")
+    store = TableStore(t.spark, f"{root}/tables")
+    for attempt in range(2):
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+        J.run_available(stream.writeStream.foreachBatch(J.ingest_new(store, "seen", ["user_id"], rows.schema)), f"{root}/checkpoint-{attempt}")
+    copies = store.read("seen", rows.schema).groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(copies, "user_id", "left")
+
+
+@query("snapshot_versions", sql="""WITH states AS (
+  SELECT 1 AS version, o_orderkey, 1 AS writer FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT 2, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0
+  UNION ALL SELECT 3, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END FROM orders
+    WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 5 = 0)
+SELECT version, writer, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM states GROUP BY ALL""")
+def snapshot_versions(t: Tables) -> DataFrame:
+    """Three keyed upserts of orders into a bucketed table; every version is read back."""
+    store = TableStore(t.spark, _scratch(t, "snapshots"))
+    orders = t.orders.select("o_orderkey")
+    schema = orders.withColumn("writer", F.lit(1)).schema
+    for writer, step in ((1, 2), (2, 3), (3, 5)):
+        source = orders.where(F.col("o_orderkey") % step == 0).withColumn("writer", F.lit(writer))
+        store.upsert_buckets("orders", source, ["o_orderkey"], schema, order=[F.col("writer")], buckets=16)
+    versions = [store.read("orders", schema, v).withColumn("version", F.lit(v)) for v in store.versions("orders")]
+    every = functools.reduce(DataFrame.unionByName, versions)
+    return every.groupBy("version", "writer").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("stale_run_stream", sql="""WITH last AS (SELECT user_id, arg_max(event_type, ts) AS st, max(ts) AS seen FROM events GROUP BY 1),
 mark AS (SELECT epoch_ms(max(ts)) - 600000 AS w FROM events)
 SELECT CAST(user_id AS VARCHAR) AS submission_id, 'failed' AS status, 'worker_timeout_reconciled' AS rejection_reason
@@ -202,6 +239,29 @@ def lifecycle_stream(t: Tables) -> DataFrame:
                          (~F.col("legal")).alias("illegal")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ordered_lifecycle_stream", sql=f"""WITH {LIFE_SQL}, mark AS (SELECT epoch_ms(max(ts)) - 600000 AS w FROM life)
+SELECT CAST(submission_id AS VARCHAR) AS submission_id, coalesce(previous, '') AS previous, status, {ILLEGAL} AS illegal, count(*) AS n
+FROM (SELECT *, lag(status) OVER (PARTITION BY submission_id ORDER BY ts, event_id) AS previous FROM life), mark
+WHERE epoch_us(ts) <= w * 1000 GROUP BY ALL""")
+def ordered_lifecycle_stream(t: Tables) -> DataFrame:
+    """Streaming: the same steps from batches in which earlier events follow later ones, told as the watermark passes."""
+    from slabspark.streaming import ordered
+
+    kind = F.create_map(*[F.lit(v) for v in ("signup", "pending", "view", "capturing", "click", "processing",
+                                             "purchase", "completed", "error", "failed")])
+    # Files of a few minutes each, whose rows are dealt out by hash: order holds neither in a file nor between neighbours.
+    folder = _scratch(t, "arrivals")
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.repartition(6, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("event_id")).write.parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 6).parquet(folder)
+    events = stream.select(F.col("user_id").cast("string").alias("submission_id"), "event_id", kind[F.col("event_type")].alias("status"), F.col("ts").alias("at"))
+    ages = 100 * 365 * 86_400  # the SQL remembers for ever
+    with ordered.rocksdb(t.spark):
+        steps = _append_stream(t, ordered.ordered_lifecycle(events, keep_final=ages, keep_any=ages), "ordered-steps")
+    return steps.groupBy("submission_id", F.coalesce("previous", F.lit("")).alias("previous"), "status",
+                         (~F.col("legal")).alias("illegal")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _append_stream(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     """Run an append-mode stream into a file sink and read it back."""
     from slabspark.streaming.jobs import run_available
