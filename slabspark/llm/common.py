@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slabspark.session import materialize
 
-__all__ = ["fold", "materialize", "mix", "slices", "table", "words"]
+__all__ = ["fold", "let", "materialize", "mix", "slices", "table", "unused", "words"]
 
 #: ASCII capitals to small letters, other bytes unchanged.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -25,6 +25,19 @@ def fold(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or that with underscores until no column of ``frames`` has it in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def words(text: str | None, lower: bool = True) -> list[bytes]:
     """UTF-8 words between the characters 0x20 and 0x09-0x0D; none for null."""
     if not text:

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slabspark.llm.common import unused
+
 #: The patterns of the base kinds and the least lengths of what they find.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -142,14 +144,14 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``docs`` with masked texts; ``size_col``, where there is one, follows the texts that change.  No row goes."""
-    before = docs[text_col]
-    df = docs.select(*[docs[c] for c in docs.columns], before.alias("__text"))
+    own = unused("masked", docs)
+    df = docs.select(*[docs[c] for c in docs.columns], docs[text_col].alias(own))
     for step, _ in enumerate(KINDS):
-        df = df.withColumn("__text", _masked_step(F.col("__text"), step))
-    changed = ~F.col("__text").eqNullSafe(F.col(text_col))
+        df = df.withColumn(own, _masked_step(F.col(own), step))
+    changed = ~F.col(own).eqNullSafe(F.col(text_col))
     out = [
-        F.col("__text").alias(c) if c == text_col
-        else F.when(changed, F.length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == size_col
+        F.col(own).alias(c) if c == text_col
+        else F.when(changed, F.length(own)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == size_col
         else F.col(c) for c in docs.columns
     ]
     return df.select(*out)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabspark.llm.common import materialize, mix, slices, words
+from slabspark.llm.common import materialize, mix, slices, unused, words
 from slabspark.llm.graph import components
 
 SEED = 42
@@ -416,11 +416,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
         first = without.groupBy("root").agg(F.min("copy").alias("first"))
         without = without.join(first, "root").select("id", "copy", F.expr("component is not null or copy <> first").alias("drop"), "n")
         rows = rows.unionByName(without)
-    rows = materialize(rows.filter("drop or n > 1").select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), "drop"), "dropped-rows")
+    own, copy = unused("dropped_id", docs), unused("dropped_copy", docs)
+    rows = materialize(rows.filter("drop or n > 1").select(F.col("id").alias(own), F.col("copy").alias(copy), "drop"), "dropped-rows")
     dropped, again = rows.drop("drop"), rows.filter("not drop").drop("drop")
     if rows.count() <= BROADCAST_ROWS:
         dropped, again = F.broadcast(dropped), F.broadcast(again)
-    same = lambda left: left[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(left[text_col]) == F.col("__copy"))
+    same = lambda left: left[id_col].cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(left[text_col]) == F.col(copy))
     kept = docs.join(dropped, same(docs), "left_anti")
     if again.isEmpty():
         return kept
