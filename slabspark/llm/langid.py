@@ -20,8 +20,10 @@ from slabspark.llm.common import mix, slices
 DIMENSIONS = 1024
 #: About so many documents of each language are learned from, chosen by a hash of their ids.
 TRAIN_DOCS = 5000
-#: Lowest cosine of a text that the pipeline keeps: what chance alone gives is about 1 / sqrt(DIMENSIONS).
-MIN_SCORE = 0.02
+#: Lowest cosine of a text that the pipeline keeps, about three deviations of what chance alone gives (1 / sqrt(DIMENSIONS)
+#: = 0.031): a text in no learned language passes once in some hundred times.  Texts of up to SHORT characters have too
+#: few trigrams to tell and stay.
+MIN_SCORE, SHORT = 0.1, 16
 UNKNOWN = "und"
 _PIECE = 100_000
 _letter: np.ndarray | None = None
@@ -155,12 +157,15 @@ def language_ids(docs: DataFrame, folds: int = 4, held: int = 2, id_col: str = "
     return out.select("doc_id", "held_out", "g.lang_pred", "g.score")
 
 
-def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without rows whose text is null, has no letter or resembles no language; columns unchanged."""
+def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without rows whose text is null, has no letter or resembles no language; columns unchanged.
+
+    Texts of up to ``short`` characters stay if they have a letter.
+    """
     model = profiles(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, lang_col=lang_col)
     guess = predicted(model)
-    judged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), guess(docs[text_col]).alias("g"))
-    return judged.filter((F.col("g.lang_pred") != UNKNOWN) & (F.col("g.score") >= min_score)).select("row.*")
+    judged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), guess(docs[text_col]).alias("g"), (F.length(docs[text_col]) <= short).alias("few"))
+    return judged.filter((F.col("g.lang_pred") != UNKNOWN) & (F.col("few") | (F.col("g.score") >= min_score))).select("row.*")
 
 
 def op2_language(spark, sf_dir) -> DataFrame:
