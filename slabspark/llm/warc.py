@@ -33,8 +33,8 @@ LEAST = 100
 BROADCAST_GROUPS = 200_000
 #: Bytes after which a task begins another archive, lines of a block, and capture date where the pages have none.
 ARCHIVE, LINES, DATE = 1 << 30, 512, "1970-01-01T00:00:00Z"
-#: Ranges of a file with gaps up to this size are read at once, up to so many bytes (one record at least).
-GAP, READ = 64 << 10, 8 << 20
+#: Ranges of a file with gaps up to this size are read at once, up to so many bytes (one record at least); bytes of a task.
+GAP, READ, TASK = 64 << 10, 8 << 20, 64 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CAPTURE = "key string, page string, file string, offset bigint, length bigint"
 _RECORD = "page string, url string, record_type string, refers string, payload_digest string, payload_bytes bigint"
@@ -303,11 +303,12 @@ def lookup(index: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
     return found.mapInArrow(search, _CAPTURE)
 
 
-def read_records(captures: DataFrame, root: str, payload: bool = False) -> DataFrame:
+def read_records(captures: DataFrame, root: str, payload: bool = False, tasks: int | None = None) -> DataFrame:
     """(page, url, record_type, refers, payload_digest, payload_bytes) of captures, with ``payload`` also that (null for revisits).
 
-    Captures are dealt out by their place; neighbours are read at once.
-    Payloads are held against their digests.
+    Captures are dealt out by their place, to ``tasks`` tasks (their rows are
+    short and don't show how much there is to read); neighbours are read at
+    once.  Payloads are held against their digests.
     """
     kind = _RECORD + ", payload binary" * payload
 
@@ -338,7 +339,7 @@ def read_records(captures: DataFrame, root: str, payload: bool = False) -> DataF
             if stream is not None:
                 stream.close()
 
-    placed = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    placed = captures.select("file", "offset", "length").repartitionByRange(*([tasks] if tasks else []), "file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, kind)
 
 
@@ -361,7 +362,8 @@ def archived(pages: DataFrame, root: str | None = None, id_col: str = "page_id",
     captures = write_archives(records(pages, id_col, url_col, html_col, least, broadcast_groups), root)
     index = write_index(captures, root, lines)
     wanted = pages.select(url_key(F.col(url_col).cast("string")).alias("key"), F.url_encode(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("page"))
-    return read_records(lookup(index, wanted, root), root, payload)
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return read_records(lookup(index, wanted, root), root, payload, 1 + size // TASK)
 
 
 def op11_warc(spark, sf_dir) -> DataFrame:
