@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from slabspark import schemas as S
 from slabspark.functions.text import parse_key, strip
 from slabspark.session import materialize
+from slabspark.sources.json_array import array_objects
 
 
 @dataclass(frozen=True)
@@ -63,17 +64,15 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType, element_per_line: bool = False) -> DataFrame:
     """Bulk dumps whose top level is a list of objects; other entries are skipped.
 
-    A file of unknown layout is one document in one task (2 GB at most).  Where
-    each element has a line of its own, with the brackets on theirs, say so:
-    such a file is split like any other text.
+    A file of any layout is read by many tasks, in two passes.  Where each
+    element has a line of its own, with the brackets on theirs, say so: such a
+    file is read once, like any other text.
     """
     if element_per_line:
         line = F.regexp_replace(strip(F.col("value")), r",$", "")
         objects = spark.read.text(path, recursiveFileLookup=True).select(line.alias("entry")).where(F.col("entry").startswith("{"))
     else:
-        whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-        entries = whole.select(F.explode(F.from_json("value", "array<variant>")).alias("entry"))
-        objects = entries.where(F.schema_of_variant("entry").startswith("OBJECT")).select(F.to_json("entry").alias("entry"))
+        objects = array_objects(spark, path)
     return objects.select(F.from_json("entry", schema).alias("r")).select("r.*")
 
 
