@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -131,14 +131,21 @@ def page_image(html: Column, side: str) -> Column:
     return first_where(F.transform(own, lambda t: attribute(t, "src")), lambda s: s != "")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once: inside a lambda an outer expression would run anew for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def definition_map(html: Column) -> Column:
     """Terms of definition lists with the descriptions that follow them; blank parts dropped, first term wins."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<d[td]\b[^>]*>.*?(?=</?d[tdl]\b|$)"), F.lit(0))  # end tags may be missing
-    pairs = F.transform(found, lambda e, i: F.struct(
-        F.when(e.rlike("(?i)^<dt"), F.lower(F.regexp_replace(strip_tags(e), ":+$", ""))).otherwise(F.lit("")).alias("label"),
-        F.when(F.get(found, i + 1).rlike("(?i)^<dd"), strip_tags(F.get(found, i + 1))).otherwise(F.lit("")).alias("value"),
-    ))
-    return first_wins_map(pairs)
+    def pairs(found: Column) -> Column:
+        return F.transform(found, lambda e, i: F.struct(
+            F.when(e.rlike("(?i)^<dt"), F.lower(F.regexp_replace(strip_tags(e), ":+$", ""))).otherwise(F.lit("")).alias("label"),
+            F.when(F.get(found, i + 1).rlike("(?i)^<dd"), strip_tags(F.get(found, i + 1))).otherwise(F.lit("")).alias("value"),
+        ))
+
+    # end tags may be missing
+    return first_wins_map(let(F.regexp_extract_all(html, F.lit(r"(?is)<d[td]\b[^>]*>.*?(?=</?d[tdl]\b|$)"), F.lit(0)), pairs))
 
 
 def pair_map(html: Column, pattern: str) -> Column:
@@ -152,10 +159,16 @@ def pair_map(html: Column, pattern: str) -> Column:
 
 
 def first_wins_map(pairs: Column) -> Column:
-    """Array of (label, value) structs -> map that keeps the first of a label."""
+    """Array of (label, value) structs -> map that keeps the first of a label.
+
+    Sorted by label and place, a first one differs from the pair before it; so
+    the work grows with the pairs, not with their square.
+    """
     usable = F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != ""))
-    labels = F.transform(usable, lambda p: p["label"])
-    return F.map_from_entries(F.filter(usable, lambda p, i: F.array_position(labels, p["label"]) == i + 1))
+    by_label = F.array_sort(F.transform(usable, lambda p, i: F.struct(p["label"].alias("label"), i.alias("at"), p["value"].alias("value"))))
+    firsts = let(by_label, lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["label"] != e["label"])))
+    in_order = F.array_sort(F.transform(firsts, lambda e: F.struct(e["at"].alias("at"), e["label"].alias("label"), e["value"].alias("value"))))
+    return F.map_from_entries(F.transform(in_order, lambda e: F.struct(e["label"].alias("label"), e["value"].alias("value"))))
 
 
 def map_first(m: Column, labels: Sequence[str]) -> Column:

@@ -51,14 +51,22 @@ def is_flagged() -> Column:
     return F.col("flag").isNotNull() | (F.col("auth_verdict") != "authentic")
 
 
+def matches(query: str) -> Column:
+    q = F.lit(query.lower())
+    return F.lower("name").contains(q) | F.lower("set").contains(q) | F.lower(F.col("id").cast("string")).contains(q)
+
+
 def filter_views(views: DataFrame, which: str = "all", query: str = "") -> DataFrame:
     conditions = {"all": F.lit(True), "top": is_top(), "pending": is_pending(), "flagged": is_flagged()}
     out = views.where(conditions[which])
-    if query.strip():
-        q = F.lit(query.lower())
-        out = out.where(F.lower("name").contains(q) | F.lower("set").contains(q)
-                        | F.lower(F.col("id").cast("string")).contains(q))
-    return out
+    return out.where(matches(query)) if query.strip() else out
+
+
+def fitting_filters(views: DataFrame, query: str = "") -> DataFrame:
+    """A row for each view and filter it passes (``which``: top, pending, flagged, and search with a query), in one pass."""
+    conditions = {"top": is_top(), "pending": is_pending(), "flagged": is_flagged(), **({"search": matches(query)} if query.strip() else {})}
+    names = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()]))
+    return views.select("*", F.explode(names).alias("which"))
 
 
 def workbench_stats(views: DataFrame) -> DataFrame:

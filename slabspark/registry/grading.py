@@ -155,10 +155,7 @@ UNION ALL SELECT 'search', id FROM card_views
   WHERE contains(lower(name), 'nation_1') OR contains(lower("set"), 'nation_1') OR contains(lower(id), 'nation_1')""")
 def workbench_filters(t: Tables) -> DataFrame:
     """The three workbench filters and the text search."""
-    rows = _views(t)
-    parts = [dashboard.filter_views(rows, w).select(F.lit(w).alias("which"), "id") for w in ("top", "pending", "flagged")]
-    found = dashboard.filter_views(rows, "all", "NATION_1").select(F.lit("search").alias("which"), "id")
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(found)
+    return dashboard.fitting_filters(_views(t), "NATION_1").select("which", "id")
 
 
 @query("confidence_band", sql=f"""{WITH}

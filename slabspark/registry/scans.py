@@ -135,11 +135,10 @@ def run_log(t: Tables) -> DataFrame:
     """One entry per run appended to the log, and the log read back."""
     path = _folder(t, "runs")
     runs = t.orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"), F.count("*").alias("n"))
-    for r in runs.collect():  # five priorities
-        why = "ingest_aborted" if r["o_orderpriority"] == "5-LOW" else "range_exhausted"
-        entry = {"timestamp": r["o_orderpriority"], "starting_cert_id": r["a"], "ending_cert_id": r["b"], "stop_reason": why,
-                 "error": None, "stats": {"n": r["n"]}}
-        store.append_run_log(t.spark, path, S.RUN_LOG, entry)
+    why = F.when(F.col("o_orderpriority") == "5-LOW", "ingest_aborted").otherwise("range_exhausted")
+    stats = F.create_map(F.lit("n"), F.col("n"))
+    own = {"timestamp": F.col("o_orderpriority"), "starting_cert_id": F.col("a"), "ending_cert_id": F.col("b"), "stop_reason": why, "error": F.lit(None), "stats": stats}
+    store.append_json(runs.select(*[own[f.name].cast(f.dataType).alias(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in S.RUN_LOG.fields]), path)
     log = store.read_run_log(t.spark, path, S.RUN_LOG)
     return log.select("timestamp", "starting_cert_id", "ending_cert_id", "stop_reason", F.col("stats")["n"].alias("n"))
 

@@ -96,6 +96,53 @@ def cosine_neighbours(t: Tables) -> DataFrame:
     return hits.select("query_id", F.col("ref_id").alias("variant_id"), F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("kept_hash_index", sql=f"""WITH {SIGNATURE_SQL}
+SELECT query_id, variant_id, distance, "rank" FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, variant_id) AS "rank" FROM hash_hits)
+WHERE "rank" <= 50""")
+def kept_hash_index(t: Tables) -> DataFrame:
+    """Near hashes from a kept index: filled in two steps, then a third of the rows removed and put back."""
+    from slabspark.operators.hash_index import HashIndex
+
+    rows = _catalog(t).select("variant_id", "phash")
+    index = HashIndex(_store(t, "hash-index"), "catalog", dict(rows.dtypes)["variant_id"], buckets=32)
+    part = lambda *numbers: rows.where((F.col("variant_id") % 3).isin(*numbers))
+    index.add(part(0, 1), "variant_id", "phash")
+    index.add(part(1, 2), "variant_id", "phash")
+    index.remove(part(2), "variant_id", "phash")
+    index.add(part(2), "variant_id", "phash")
+    return index.search(_probes(t), "query_id", "phash", out_id="variant_id")
+
+
+@query("kept_ball_tree", sql=f"""WITH {SIGNATURE_SQL}
+SELECT query_id, variant_id, round(distance, 6) AS distance, rk AS "rank" FROM vec_hits""")
+def kept_ball_tree(t: Tables) -> DataFrame:
+    """Five nearest catalog vectors of every probe, exact, from a tree that was filled in two steps."""
+    from slabspark.operators.ball_tree import BallTree
+
+    rows = _catalog(t).select("variant_id", "embedding")
+    tree = BallTree(_store(t, "ball-tree"), "catalog", DIM, dict(rows.dtypes)["variant_id"], fanout=8, leaf_rows=256, buckets=16)
+    tree.add(rows.where("variant_id % 2 = 0"), "variant_id", "embedding")
+    tree.add(rows.where("variant_id % 2 = 1"), "variant_id", "embedding")
+    hits = tree.search(_probes(t), "query_id", "embedding")
+    return hits.select("query_id", F.col("ref_id").alias("variant_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("lsh_recall", sql=f"""WITH {SIGNATURE_SQL}
+SELECT query_id, variant_id, round(distance, 6) AS distance, rk AS "rank", true AS recalled FROM vec_hits
+WHERE query_id IN (SELECT query_id FROM (SELECT DISTINCT query_id FROM vec_hits) ORDER BY md5('sample:' || query_id), query_id LIMIT 100)""")
+def lsh_recall(t: Tables) -> DataFrame:
+    """The exact sample that hyperplane search is measured against, and whether it finds nine of ten of these neighbours."""
+    from slabspark.operators import lsh
+
+    asked, rows = _probes(t), _catalog(t)
+    exact = lsh.exact_sample(asked, rows, "query_id", "embedding", "variant_id", "embedding", dim=DIM, sample=100)
+    found = lsh.lsh_top_k(asked, rows, "query_id", "embedding", "variant_id", "embedding", dim=DIM)
+    measured = lsh.recall(found, exact, "query_id").select((F.col("recall") >= 0.9).alias("r"))
+    return exact.select("query_id", F.col("ref_id").alias("variant_id"), F.round("distance", 6).alias("distance"), "rank",
+                        measured.scalar().alias("recalled"))
+
+
 @query("cosine_top_k_by_label", sql="""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT query_id, variant_id, round(distance, 6) AS distance, rk AS "rank" FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), variant_id) AS rk FROM (

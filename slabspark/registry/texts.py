@@ -10,6 +10,7 @@ from slabspark.functions.scalars import as_double
 from slabspark.operators import authenticity
 from slabspark.operators import normalize as N
 from slabspark.operators.funnel import outcome_counts
+from slabspark.plans import jobs
 from slabspark.registry.core import Tables, query
 from slabspark.sources.readers import authentic_labels, check_labels, seed_records
 
@@ -268,6 +269,24 @@ def cert_outcomes(t: Tables) -> DataFrame:
     return outcome_counts(N.cert_rows(_cert_payloads(t)))
 
 
+@query("normalize_job", sql=f"""WITH {CERT_SQL},
+refs AS (SELECT CASE WHEN p_size <> 2 THEN 'image_missing' ELSE 'parse_errors' END AS outcome FROM part UNION ALL SELECT 'image_missing' FROM part),
+certs AS (SELECT CASE WHEN grade IS NULL OR p_type = 'LARGE' THEN 'non_gradeable_skipped' ELSE 'successful' END AS outcome FROM c
+  UNION ALL SELECT 'parse_errors' FROM pages)
+SELECT 'reference' AS kind, outcome, count(*) AS n FROM refs GROUP BY 2 UNION ALL SELECT 'cert', outcome, count(*) FROM certs GROUP BY 2
+UNION ALL SELECT 'references', 'kept', count(*) FROM refs WHERE outcome <> 'parse_errors'
+UNION ALL SELECT 'scraped', 'kept', count(*) FROM certs WHERE outcome = 'successful'""")
+def normalize_job(t: Tables) -> DataFrame:
+    """Both card catalogs, graded-cert payloads and cert pages through one pass: outcomes, and the rows that stay."""
+    k, name = F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name")
+    mtg = t.part.select(F.to_json(F.struct(k, F.when(F.col("p_size") != 2, F.col("p_name")).alias("name"))).alias("payload"))
+    pokemon = t.part.select(F.to_json(F.struct(k, name)).alias("payload"))
+    out = jobs.normalize_sources(mtg, pokemon, _cert_payloads(t), t.pages)
+    counted = [out[f"{kind}_outcomes"].select(F.lit(kind).alias("kind"), "outcome", "n") for kind in ("reference", "cert")]
+    kept = [out[kind].agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit("kept").alias("outcome"), "n") for kind in ("references", "scraped")]
+    return counted[0].unionByName(counted[1]).unionByName(kept[0]).unionByName(kept[1])
+
+
 @query("detector_blob", sql="""SELECT CAST(event_id AS VARCHAR) AS submission_id, 'color' AS detector,
     round(value / 1000, 6) AS score, CASE WHEN value > 20 THEN 'authentic' ELSE 'unverified' END AS verdict,
     0.0 AS confidence, CAST(regexp_extract(props, '[0-9]+') AS VARCHAR) AS k FROM events
