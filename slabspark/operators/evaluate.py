@@ -84,6 +84,21 @@ def distributions(scores: DataFrame) -> DataFrame:
     return basic.join(exact_percentiles(scores, keys, "score", QUANTILES), keys)
 
 
+def score_points(outcomes: DataFrame) -> DataFrame:
+    """(detector, score, na, nc, abstained): all counts of one pass over the outcomes; abstentions under a null score."""
+    abstained = (F.col("verdict") == "unverified") | F.col("score").isNull()
+    truth = F.col("ground_truth")
+    return usable(outcomes).groupBy("detector", F.when(~abstained, F.col("score")).alias("score")).agg(
+        F.count_if(~abstained & (truth == AUTHENTIC)).alias("na"), F.count_if(~abstained & (truth == COUNTERFEIT)).alias("nc"),
+        F.count_if(abstained).alias("abstained"))
+
+
+def prefix_table(points: DataFrame) -> DataFrame:
+    """Points (detector, score, na, nc) with running counts: ``_ua``, ``_uc`` up to a score, ``_prev`` the score before it."""
+    known = points.where(F.col("score").isNotNull() & (F.col("na") + F.col("nc") > 0)).select("detector", "score", "na", "nc")
+    return ordered_scan(known, ["detector"], [("score", True)], sums={"_ua": F.col("na"), "_uc": F.col("nc")}, lags={"_prev": ("score", 1)})
+
+
 def threshold_sweep(scores: DataFrame) -> DataFrame:
     """Every candidate threshold with the counts strictly below it.
 
@@ -93,12 +108,15 @@ def threshold_sweep(scores: DataFrame) -> DataFrame:
     """
     a, c = F.col("ground_truth") == AUTHENTIC, F.col("ground_truth") == COUNTERFEIT
     points = scores.groupBy("detector", "score").agg(F.count_if(a).alias("na"), F.count_if(c).alias("nc"))
-    scan = ordered_scan(points, ["detector"], [("score", True)],
-                        sums={"_ua": F.col("na"), "_uc": F.col("nc")}, lags={"_prev": ("score", 1)})
+    return _swept(prefix_table(points))
+
+
+def _swept(scan: DataFrame) -> DataFrame:
+    """The sweep from a prefix table."""
     midpoints = scan.where(F.col("_prev").isNotNull()).select(
         "detector", ((F.col("_prev") + F.col("score")) / 2.0).alias("candidate"),
         (F.col("_ua") - F.col("na")).alias("below_a"), (F.col("_uc") - F.col("nc")).alias("below_c"))
-    ends = points.groupBy("detector").agg(
+    ends = scan.groupBy("detector").agg(
         F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("na").alias("a"), F.sum("nc").alias("c"),
         F.max_by("na", "score").alias("top_a"), F.max_by("nc", "score").alias("top_c"))
     zero = F.lit(0).cast("bigint")
@@ -119,10 +137,13 @@ def threshold_sweep(scores: DataFrame) -> DataFrame:
 
 def two_sided_thresholds(scores: DataFrame) -> DataFrame:
     """Median of the candidates that maximize TPR - FPR, per detector with both labels."""
-    sizes = scores.groupBy("detector").agg(
-        F.count_if(F.col("ground_truth") == AUTHENTIC).alias("n_a"),
-        F.count_if(F.col("ground_truth") == COUNTERFEIT).alias("n_c")).where("n_a > 0 AND n_c > 0")
-    swept = threshold_sweep(scores).join(F.broadcast(sizes), "detector")  # one row per detector
+    a, c = F.col("ground_truth") == AUTHENTIC, F.col("ground_truth") == COUNTERFEIT
+    return _two_sided(prefix_table(scores.groupBy("detector", "score").agg(F.count_if(a).alias("na"), F.count_if(c).alias("nc"))))
+
+
+def _two_sided(prefix: DataFrame) -> DataFrame:
+    sizes = prefix.groupBy("detector").agg(F.sum("na").alias("n_a"), F.sum("nc").alias("n_c")).where("n_a > 0 AND n_c > 0")
+    swept = _swept(prefix).join(F.broadcast(sizes), "detector")  # one row per detector
     j = F.col("below_c") / F.col("n_c") - F.col("below_a") / F.col("n_a")
     swept = materialize(swept.select("detector", "candidate", j.alias("j")), "sweep")
     best = swept.groupBy("detector").agg(F.max("j").alias("max_j"))
@@ -131,6 +152,17 @@ def two_sided_thresholds(scores: DataFrame) -> DataFrame:
     return mid.join(best, "detector")
 
 
+def _one_sided(prefix: DataFrame, target_recall: float) -> DataFrame:
+    """``one_sided_thresholds`` from running counts: the two order statistics around a place, weighed."""
+    share = max(0.0, min(1.0, 1.0 - target_recall))
+    sizes = prefix.groupBy("detector").agg(F.sum("na").alias("n")).where("n > 0").withColumn("at", F.lit(share) * (F.col("n") - 1))
+    placed = prefix.where("na > 0").join(F.broadcast(sizes), "detector")  # one row per detector
+    value = lambda k: F.min(F.when(F.col("_ua") > k, F.col("score")))
+    met = placed.groupBy("detector", "at").agg(value(F.floor("at")).alias("low"), value(F.ceil("at")).alias("high"))
+    weight = F.col("at") - F.floor("at")
+    return met.select("detector", F.when(weight == 0, F.col("low")).otherwise(F.col("low") * (1 - weight) + F.col("high") * weight).alias("authentic_threshold"))
+
+
 def one_sided_thresholds(scores: DataFrame, target_recall: float = P.TARGET_AUTHENTIC_RECALL) -> DataFrame:
     share = max(0.0, min(1.0, 1.0 - target_recall))
     return exact_percentiles(scores.where(F.col("ground_truth") == AUTHENTIC), ["detector"], "score",
@@ -144,10 +176,12 @@ def fpr_caps(scores: DataFrame, fpr_budget: float = P.COUNTERFEIT_FPR_BUDGET) ->
     distinct scores, so no detector's scores are sorted in one task.
     """
     good = scores.where(F.col("ground_truth") == AUTHENTIC)
-    points = good.groupBy("detector", "score").agg(F.count(F.lit(1)).alias("n"))
-    upto = ordered_scan(points, ["detector"], [("score", True)], sums={"_upto": F.col("n")})
-    sizes = good.groupBy("detector").agg(F.count(F.lit(1)).alias("size"), F.min("score").alias("lo"),
-                                         F.max("score").alias("hi"))
+    return _caps(prefix_table(good.groupBy("detector", "score").agg(F.count(F.lit(1)).alias("na"), F.lit(0).alias("nc"))), fpr_budget)
+
+
+def _caps(prefix: DataFrame, fpr_budget: float) -> DataFrame:
+    upto = prefix.where("na > 0").withColumnRenamed("_ua", "_upto")
+    sizes = upto.groupBy("detector").agg(F.sum("na").alias("size"), F.min("score").alias("lo"), F.max("score").alias("hi"))
     allowed = F.floor(F.lit(float(fpr_budget)) * F.col("size"))
     placed = upto.join(F.broadcast(sizes), "detector").withColumn("allowed", allowed)  # one row per detector
     edge = placed.groupBy("detector").agg(
@@ -165,8 +199,11 @@ def counterfeit_thresholds(scores: DataFrame, authentic: DataFrame,
                            fpr_budget: float = P.COUNTERFEIT_FPR_BUDGET) -> DataFrame:
     """Lowest of the budget cap, the highest counterfeit score and the band cap."""
     worst = scores.where(F.col("ground_truth") == COUNTERFEIT).groupBy("detector").agg(F.max("score").alias("_cf"))
-    rows = authentic.select("detector", "authentic_threshold").join(fpr_caps(scores, fpr_budget), "detector").join(
-        worst, "detector", "left")
+    return _lower(authentic, fpr_caps(scores, fpr_budget), worst)
+
+
+def _lower(authentic: DataFrame, caps: DataFrame, worst: DataFrame) -> DataFrame:
+    rows = authentic.select("detector", "authentic_threshold").join(caps, "detector").join(worst, "detector", "left")
     band = F.greatest(F.lit(0.0), F.col("authentic_threshold") - F.lit(P.SUSPICIOUS_BAND))
     return rows.select("detector", F.greatest(F.lit(0.0), F.least(
         "fpr_cap", F.coalesce("_cf", F.lit(1.0)), band)).alias("counterfeit_threshold"))
@@ -190,25 +227,28 @@ def _notes(n_a: Column, n_c: Column) -> Column:
 
 def recommendations(outcomes: DataFrame, target_recall: float = P.TARGET_AUTHENTIC_RECALL,
                     fpr_budget: float = P.COUNTERFEIT_FPR_BUDGET) -> DataFrame:
-    """Recommended thresholds per detector with mode, achieved rates, deltas and notes."""
-    # Three narrow columns that seven aggregates below read: written once.
-    scores = materialize(confident_scores(outcomes), "scores")
-    counts = score_counts(outcomes)
-    two = two_sided_thresholds(scores).select("detector", F.col("authentic_threshold").alias("_two"))
-    one = one_sided_thresholds(scores, target_recall).select("detector", F.col("authentic_threshold").alias("_one"))
+    """Recommended thresholds per detector with mode, achieved rates, deltas and notes.
+
+    The outcomes are read once, into counts per detector and score; everything
+    else follows from their running sums.
+    """
+    points = materialize(score_points(outcomes), "score-points")
+    prefix = materialize(prefix_table(points), "score-prefix")
+    counts = points.groupBy("detector").agg(F.sum("na").alias("n_authentic"), F.sum("nc").alias("n_counterfeit"), F.sum("abstained").alias("n_abstained"))
+    two = _two_sided(prefix).select("detector", F.col("authentic_threshold").alias("_two"))
+    one = _one_sided(prefix, target_recall).select("detector", F.col("authentic_threshold").alias("_one"))
     n_a, n_c = F.col("n_authentic"), F.col("n_counterfeit")
     mode = F.when(n_a == 0, F.lit("insufficient")).when(n_c == 0, F.lit("authentic_only")).otherwise(F.lit("two_sided"))
     chosen = counts.join(two, "detector", "left").join(one, "detector", "left").withColumn("mode", mode).withColumn(
         "authentic_threshold", F.when(F.col("mode") == "two_sided", F.col("_two"))
         .when(F.col("mode") == "authentic_only", F.col("_one"))).drop("_two", "_one")
     chosen = materialize(chosen, "chosen")  # one row per detector, read three times
-    low = counterfeit_thresholds(scores, chosen.where(F.col("mode") == "two_sided"), fpr_budget)
-    sides = scores.join(F.broadcast(chosen.select("detector", "authentic_threshold")), "detector")
+    worst = prefix.where("nc > 0").groupBy("detector").agg(F.max("score").alias("_cf"))
+    low = _lower(chosen.where(F.col("mode") == "two_sided"), _caps(prefix, fpr_budget), worst)
+    sides = prefix.join(F.broadcast(chosen.select("detector", "authentic_threshold")), "detector")
     below = F.col("score") < F.col("authentic_threshold")
-    rates = sides.groupBy("detector").agg(
-        F.count_if((F.col("ground_truth") == AUTHENTIC) & ~below).alias("_keep"),
-        F.count_if((F.col("ground_truth") == AUTHENTIC) & below).alias("_lost"),
-        F.count_if((F.col("ground_truth") == COUNTERFEIT) & below).alias("_caught"))
+    part = lambda n, cond: F.coalesce(F.sum(F.when(cond, F.col(n))), F.lit(0))
+    rates = sides.groupBy("detector").agg(part("na", ~below).alias("_keep"), part("na", below).alias("_lost"), part("nc", below).alias("_caught"))
     both = F.col("mode") == "two_sided"
     cur_a = threshold(F.col("detector"), "authentic")
     cur_c = threshold(F.col("detector"), "counterfeit")
