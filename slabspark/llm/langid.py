@@ -26,6 +26,8 @@ TRAIN_DOCS = 5000
 MIN_SCORE, SHORT = 0.1, 16
 UNKNOWN = "und"
 _PIECE = 100_000
+#: Texts whose vectors are held at once.
+ROWS = 512
 _letter: np.ndarray | None = None
 
 
@@ -104,10 +106,12 @@ def profiles(labelled: DataFrame, dims: int = DIMENSIONS, train_docs: int = TRAI
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
-        for pdf in frames:
-            vectors = text_vectors(pdf["text"].tolist(), dims)
-            for lang, rows in pdf.groupby("lang", sort=False).indices.items():
-                total[lang] = total.get(lang, 0) + vectors[rows].sum(axis=0)
+        for frame in frames:
+            for a in range(0, len(frame), ROWS):
+                pdf = frame.iloc[a : a + ROWS]
+                vectors = text_vectors(pdf["text"].tolist(), dims)
+                for lang, rows in pdf.groupby("lang", sort=False).indices.items():
+                    total[lang] = total.get(lang, 0) + vectors[rows].sum(axis=0)
         for lang, v in total.items():
             yield pd.DataFrame({"lang": lang, "i": np.arange(dims), "v": v})
 
@@ -123,18 +127,22 @@ def predicted(model: dict[str, np.ndarray], dims: int = DIMENSIONS) -> object:
     names = list(model)
     unit = np.array([model[k] / np.linalg.norm(model[k]) for k in names]).reshape(len(names), dims)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(text: pd.Series) -> pd.DataFrame:
-        vectors = text_vectors(text.tolist(), dims)
+    def judge(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        vectors = text_vectors(texts, dims)
         norm = np.linalg.norm(vectors, axis=1)
-        lang, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
-        if names and len(text):
+        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        if names and texts:
             cosine = vectors @ unit.T / np.maximum(norm, 1e-12)[:, None]
             best = cosine.argmax(axis=1)
-            known = np.array([bool(t) and len(trigrams(t)) > 0 if n == 0 else True for t, n in zip(text, norm)], bool)
+            known = np.array([bool(t) and len(trigrams(t)) > 0 if n == 0 else True for t, n in zip(texts, norm)], bool)
             lang[known] = np.array(names, object)[best[known]]
             score[known] = np.clip(cosine.max(axis=1)[known], 0, 1)
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        return lang, score
+
+    @F.pandas_udf("lang_pred string, score double")
+    def run(text: pd.Series) -> pd.DataFrame:
+        parts = [judge(text.iloc[a : a + ROWS].tolist()) for a in range(0, max(1, len(text)), ROWS)]
+        return pd.DataFrame({"lang_pred": pd.Series(np.concatenate([p[0] for p in parts]), dtype=object), "score": np.concatenate([p[1] for p in parts])})
 
     return run
 
