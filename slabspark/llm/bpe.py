@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words whose encoding a worker remembers, twice this many at most.
-REMEMBERED = 80_000
+#: Words whose encoding a worker remembers, twice this many at most, and the length of the longest among them.
+REMEMBERED, LONGEST = 80_000, 64
 #: Characters whose normalization and splitting are plain; a text with others goes through the library's splitter.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įĲ-ňŊ-ž]")
 
@@ -119,6 +119,8 @@ class WordBpe:
 
     def _remembered(self, chunk: str) -> tuple[str, str]:
         found = self.old.get(chunk) or self._chunk(chunk)
+        if len(chunk) > LONGEST:
+            return found
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
         self.young[chunk] = found

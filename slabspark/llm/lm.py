@@ -27,8 +27,8 @@ from slabspark.llm.langid import remainder
 COMMON_WORDS = 400_000
 #: Weight of the end of a text among what the spelling model expects, and of characters outside the vocabulary.
 END_WEIGHT, UNKNOWN_WEIGHT = 1e-3, 1e-4
-#: Spellings a worker remembers, twice this many at most.
-REMEMBERED = 350_000
+#: Spellings a worker remembers, twice this many at most, and the bytes of the longest word among them.
+REMEMBERED, LONGEST = 350_000, 64
 #: Where brute force puts a floor under a probability; scores have none.
 TINY = 1e-300
 #: No word is empty, so this stands for the end of a text.
@@ -99,9 +99,10 @@ class Lattice:
             if found is None:
                 ln = self.marginal(word.decode("utf-8", "surrogatepass")) + math.log1p(-END_WEIGHT) if word != END else math.log(END_WEIGHT)
                 found = _hash(word), math.exp(ln), ln / math.log(10)
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[word] = found
+            if len(word) <= LONGEST:
+                if len(self.young) >= REMEMBERED:
+                    self.old, self.young = self.young, {}
+                self.young[word] = found
         return found
 
 

@@ -66,3 +66,17 @@ def test_texts_in_no_learned_language_go(spark):
     docs = spark.createDataFrame(known + [(200 + i, t, None) for i, t in enumerate(kana)] + [(300, "かな", None), (301, "w1 w2", None), (302, "12", None), (303, None, None), (304, "", None)], "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in langid.keep_known(docs).collect()}
     assert kept == {d[0] for d in known} | {300, 301}
+
+
+def test_long_words_are_not_remembered():
+    from slabspark.llm import bpe, lm
+
+    coder = bpe._coder(bpe.vocabulary_path())
+    blobs = [f"{i}x" * 4000 for i in range(20)]
+    for text in (*blobs, *blobs, "short words stay"):
+        coder.encode(text)
+    assert all(len(c) <= bpe.LONGEST for c in (*coder.young, *coder.old)) and "short" in coder.young
+    lattice = lm._lattice(lm.vocabulary_path())
+    for blob in blobs:
+        lattice.entry(blob[:500].encode())
+    assert lattice.entry(b"short") and all(len(w) <= lm.LONGEST for w in (*lattice.young, *lattice.old))
